@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_roundtrip
 from .chat_format import chat_report
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .packing import best_fit_pack
+from .quality import fit, held_out, score
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +19,33 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_roundtrip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return out.select(
+        "doc_id",
+        F.shiftright(F.octet_length("ids"), 2).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -27,7 +57,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(turns.unionByName(more))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op8_exact_dedup, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_pack, op6_bpe, op7_quality, op8_exact_dedup, op9_chat_format)}
 
 ORACLES = {
     "op1_line_dedup": r"""
