@@ -10,6 +10,7 @@ from .chat_format import chat_report
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .minhash import minhash_dedup
 from .packing import best_fit_pack
 from .quality import fit, held_out, score
 
@@ -46,6 +47,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(turns.unionByName(more))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_pack, op6_bpe, op7_quality, op8_exact_dedup, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_pack, op6_bpe, op7_quality, op8_exact_dedup, op9_chat_format, op10_minhash)}
 
 ORACLES = {
     "op1_line_dedup": r"""
