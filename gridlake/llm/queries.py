@@ -13,6 +13,7 @@ from .line_dedup import line_dedup
 from .minhash import minhash_dedup
 from .packing import best_fit_pack
 from .quality import fit, held_out, score
+from .warc import archive_pages
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_roundtrip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return out.select(
@@ -62,7 +67,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(turns.unionByName(more))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_pack, op6_bpe, op7_quality, op8_exact_dedup, op9_chat_format, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_pack, op4_arc_to_warc, op6_bpe, op7_quality, op8_exact_dedup, op9_chat_format, op10_minhash)}
 
 ORACLES = {
     "op1_line_dedup": r"""
@@ -79,6 +84,16 @@ select doc_id, count(*)::bigint as n_lines, (count(*) filter (where cut))::bigin
 from marked group by r, doc_id
 union all
 select doc_id, 0, 0, sha256('') from documents where text is null
+""",
+    "op4_arc_to_warc": r"""
+with p as (
+  select page_id, coalesce(html, '') as html, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), f as (
+  select *, min(page_id) over (partition by html) as first from p
+)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and first < page_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and first < page_id then first end as refers_to
+from f
 """,
     "op8_exact_dedup": r"""
 with t as (
