@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .minhash import minhash_dedup
+from .nn_descent import embedding_dedup
 from .packing import best_fit_pack
 from .quality import fit, held_out, score
 from .warc import archive_pages
@@ -35,6 +36,10 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_roundtrip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return out.select(
@@ -67,7 +72,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(turns.unionByName(more))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_pack, op4_arc_to_warc, op6_bpe, op7_quality, op8_exact_dedup, op9_chat_format, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_pack, op4_arc_to_warc, op5_nn_descent, op6_bpe, op7_quality, op8_exact_dedup, op9_chat_format, op10_minhash)}
 
 ORACLES = {
     "op1_line_dedup": r"""
