@@ -26,7 +26,7 @@ from .components import components
 
 THRESHOLD = 0.98
 K = 6
-BLOCK = 96
+BLOCK = 16
 ORDERS = 6
 BITS = 10
 NEXT = 4
