@@ -1,4 +1,71 @@
-STAGES = []
+"""A corpus pipeline of five stages; each takes and (but for the last) returns documents.
+
+quality classifier -> line dedup -> MinHash near-dedup -> suffix-array dedup -> best-fit packing
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridlake.llm.common import staged, table
+from gridlake.llm.line_dedup import line_dedup
+from gridlake.llm.minhash import minhash_dedup
+from gridlake.llm.packing import best_fit_pack
+from gridlake.llm.quality import fit, score
+from gridlake.llm.queries import tokenizer_path
+from gridlake.llm.suffix_dedup import suffix_dedup
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where documents have it, follows the text."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be of quality; the others go."""
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many sites share."""
+    return _recounted(line_dedup(docs).select(*docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group. Rows without an id stay, as do all rows of an id that stays."""
+    gone = minhash_dedup(docs).filter("doc_id is not null and not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has, cut at whole characters. What is left can be empty."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = suffix_dedup(docs, carry=tuple(others), whole_characters=True)
+    return _recounted(out.withColumn("text", F.col("kept_bytes").cast("string")).select(*docs.columns))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents, packed into sequences."""
+    return best_fit_pack(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("MinHash near-dedup", near_duplicates),
+    ("suffix-array dedup", passages),
+    ("best-fit packing", packing),
+]
+
+#: SQL cannot express a fitted classifier or a packing; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.range(0)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each result written as Parquet and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

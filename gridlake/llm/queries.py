@@ -14,6 +14,7 @@ from .minhash import minhash_dedup
 from .nn_descent import embedding_dedup
 from .packing import best_fit_pack
 from .quality import fit, held_out, score
+from .suffix_dedup import suffix_dedup
 from .warc import archive_pages
 
 
@@ -32,6 +33,17 @@ def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        F.octet_length("b").cast("long").alias("n_bytes"),
+        (F.octet_length("b") - F.octet_length("kept_bytes")).cast("long").alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
@@ -72,7 +84,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(turns.unionByName(more))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_pack, op4_arc_to_warc, op5_nn_descent, op6_bpe, op7_quality, op8_exact_dedup, op9_chat_format, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_best_fit_pack, op3_suffix_dedup, op4_arc_to_warc, op5_nn_descent, op6_bpe, op7_quality, op8_exact_dedup, op9_chat_format, op10_minhash)}
 
 ORACLES = {
     "op1_line_dedup": r"""
