@@ -295,9 +295,16 @@ def _mixed(spark, sf_dir) -> DataFrame:
 
 
 def _typed(dtype: Dtype, value: Callable[[Column], Column] | None = None):
+    """Integers come with a flag instead of nulls, and dates as text: what a comparison through data frames keeps apart."""
+
     def run(spark, sf_dir):
-        to = value or (lambda c: C.coerce(c, dtype))
-        return _mixed(spark, sf_dir).select("p_partkey", to(F.col("c")).alias("value"))
+        out = (value or (lambda c: C.coerce(c, dtype)))(F.col("c"))
+        cols = [out.alias("value")]
+        if dtype in (Dtype.INT, Dtype.DURATION):
+            cols = [F.coalesce(out, F.lit(-1)).alias("value"), out.isNull().alias("is_null")]
+        elif dtype == Dtype.DATE:
+            cols = [out.cast("string").alias("value")]
+        return _mixed(spark, sf_dir).select("p_partkey", *cols)
 
     return run
 
@@ -324,6 +331,10 @@ for _name, _dtype, _value, _sql in (
     ("to_date", Dtype.DATE, None, _case(m0=f"{_SERIAL.format('p_size')}::DATE", m1=f"{_SERIAL.format('p_retailprice')}::DATE", m5=f"{_SERIAL.format('(p_size + 0.5)')}::DATE")),
     ("to_duration_ms", Dtype.DURATION, C.duration_ms, _case(m5="((p_size + 0.5) * 86400000.0)::BIGINT")),
 ):
+    if _dtype in (Dtype.INT, Dtype.DURATION):
+        _sql = f"SELECT p_partkey, coalesce(value, -1) AS value, value IS NULL AS is_null FROM ({_sql})"
+    elif _dtype == Dtype.DATE:
+        _sql = f"SELECT p_partkey, value::VARCHAR AS value FROM ({_sql})"
     QUERIES[_name], ORACLES[_name] = _typed(_dtype, _value), _sql
 
 
@@ -332,10 +343,10 @@ def excel_float_text(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.float_text("l_extendedprice").alias("price"), C.float_text("l_discount").alias("discount"))
 
 
-@query(f"SELECT p_partkey, {_SERIAL.format('(p_size + p_partkey % 100)')} AS at, {_SERIAL.format('(p_size + p_partkey % 100)')}::DATE AS day FROM part")
+@query(f"SELECT p_partkey, {_SERIAL.format('(p_size + p_partkey % 100)')} AS at, {_SERIAL.format('(p_size + p_partkey % 100)')}::DATE::VARCHAR AS day FROM part")
 def serial_to_datetime(spark, sf_dir):
     days = (F.col("p_size") + F.col("p_partkey") % 100).cast("double")
-    return _t(spark, sf_dir, "part").select("p_partkey", C.serial_to_datetime(days).alias("at"), C.serial_to_date(days).alias("day"))
+    return _t(spark, sf_dir, "part").select("p_partkey", C.serial_to_datetime(days).alias("at"), C.serial_to_date(days).cast("string").alias("day"))
 
 
 # Inference
@@ -386,13 +397,13 @@ def infer_strict(spark, sf_dir):
 def _late_text(spark, sf_dir, **options) -> DataFrame:
     """Whole numbers, then text from row 1200 on."""
     rows = spark.range(1500)
-    cell = F.when(F.col("id") < 1200, make_cell(C.INT, i=F.col("id"))).otherwise(make_cell(C.STRING, s=F.lit("x")))
+    cell = F.when(F.col("_row") < 1200, make_cell(C.INT, i=F.col("_row"))).otherwise(make_cell(C.STRING, s=F.lit("x")))
     return _load(grid_of(rows.withColumnRenamed("id", "_row"), F.col("_row"), [cell], ["v"]), **options)
 
 
-@query("SELECT CASE WHEN i < 1200 THEN i END AS v FROM range(1500) t(i)")
+@query("SELECT CASE WHEN i < 1200 THEN i ELSE -1 END AS v FROM range(1500) t(i)")
 def infer_sampled(spark, sf_dir):
-    return _late_text(spark, sf_dir)
+    return _late_text(spark, sf_dir).select(F.coalesce("v", F.lit(-1)).alias("v"))
 
 
 @query("SELECT CASE WHEN i < 1200 THEN i::VARCHAR ELSE 'x' END AS v FROM range(1500) t(i)")
@@ -400,11 +411,11 @@ def infer_all_rows(spark, sf_dir):
     return _late_text(spark, sf_dir, schema_sample_rows=None)
 
 
-@query("SELECT n_nationkey::BIGINT AS key, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE n_regionkey END::BIGINT AS region FROM nation")
+@query("SELECT n_nationkey::BIGINT AS key, CASE WHEN n_nationkey % 2 = 0 THEN -1 ELSE n_regionkey END::BIGINT AS region FROM nation")
 def infer_null_strings(spark, sf_dir):
     nation = numbered(_t(spark, sf_dir, "nation"), "n_nationkey")
     cell = F.when(F.col("n_nationkey") % 2 == 0, make_cell(C.STRING, s=F.lit("N/A"))).otherwise(make_cell(C.INT, i=F.col("n_regionkey")))
-    return _load(grid_of(nation, F.col("_row"), [make_cell(C.INT, i=F.col("n_nationkey")), cell], ["key", "region"]))
+    return _load(grid_of(nation, F.col("_row"), [make_cell(C.INT, i=F.col("n_nationkey")), cell], ["key", "region"])).select("key", F.coalesce("region", F.lit(-1)).alias("region"))
 
 
 def _part(spark, sf_dir, **options):
