@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -85,7 +86,7 @@ def open_workbook(content: bytes) -> Workbook:
             return Xlsx(content)
         if any(n.endswith("workbook.bin") for n in names):
             raise InternalError("binary xlsb workbooks are not supported")
-    except (zipfile.BadZipFile, KeyError, ValueError, SyntaxError, EOFError, IndexError) as e:
+    except (zipfile.BadZipFile, KeyError, ValueError, SyntaxError, EOFError, IndexError, struct.error) as e:
         raise WorkbookFormatError(f"cannot open workbook: {e}") from e
     raise WorkbookFormatError("cannot open workbook: not a known format")
 
