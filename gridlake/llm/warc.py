@@ -267,12 +267,12 @@ def archive_pages(pages: DataFrame, folder: str | None = None, version: int = 2,
     is empty. Repeated page ids each have a record; the least (page_id, url) is the response, a null id comes last. An empty table gives an empty result.
     """
     folder = folder or f"{shared_dir(pages.sparkSession)}/gridlake/{uuid.uuid4().hex}"
-    key = F.coalesce(F.format_string("%020d", F.col("page_id").cast("long") + F.lit(1 << 62)), F.lit("~"))
+    key = F.when(F.col("page_id").isNull(), "~").otherwise(F.format_string("%020d", F.col("page_id").cast("long") + F.lit(1 << 62)))
     rows = pages.select(key.alias("key"), F.col("url").cast("string").alias("url"), F.col("html").alias("html"))
     records = checkpointed(write_arcs(rows, f"{folder}/arc", version))
     back = checkpointed(read_warcs(checkpointed(convert_arcs(records, f"{folder}/warc", min_revisit=min_revisit))))
     mark = F.regexp_extract("url", "#row=([0-9]+|~)$", 1)
-    out = back.withColumn("page_id", F.when(mark != "~", mark.cast("decimal(20,0)") - F.lit(1 << 62)).cast("long"))
+    out = back.withColumn("page_id", (mark.try_cast("decimal(20,0)") - F.lit(1 << 62)).cast("long"))
     there = out.filter("record_type = 'response'").select(
         F.col("record_id").alias("refers_to"), F.col("page_id").alias("first"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d")
     )
