@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -17,8 +18,6 @@ SCHEMA = f"path string, sheet string, _row bigint, cells array<{CELL}>"
 
 
 def _read(uri: str) -> bytes:
-    import re
-
     from pyarrow import fs
 
     if "://" not in uri and not uri.startswith("file:"):
@@ -29,8 +28,6 @@ def _read(uri: str) -> bytes:
 
 
 def _files(uri: str) -> list[str]:
-    import re
-
     from pyarrow import fs
 
     plain = "://" not in uri and not uri.startswith("file:")
