@@ -100,8 +100,10 @@ def scan_all(files: DataFrame, col_start: int = 0, width: int | None = None) ->
                     n = out.num_rows
                     yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * n, pa.string()), pa.array([name] * n, pa.string()), *out.columns], ["path", "sheet", "_row", "cells"])
 
-    listed = files.mapInArrow(sheets, "path string, sheet string")
-    return listed.join(files, "path").repartition("path", "sheet").mapInArrow(run, f"path string, sheet string, _row bigint, cells array<{CELL}>")
+    listed = files.mapInArrow(sheets, "path string, sheet string").persist()
+    # The number is stated, as adaptive execution would merge small files into few tasks.
+    dealt = listed.join(files, "path").repartition(max(1, listed.count()), "path", "sheet")
+    return dealt.mapInArrow(run, f"path string, sheet string, _row bigint, cells array<{CELL}>")
 
 
 def scan_metadata(files: DataFrame) -> DataFrame:
