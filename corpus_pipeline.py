@@ -42,8 +42,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has, cut at whole characters. What is left can be empty."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = suffix_dedup(docs, carry=tuple(others), whole_characters=True)
-    return _recounted(out.withColumn("text", F.col("kept_bytes").cast("string")).select(*docs.columns))
+    held = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("_others"))
+    out = suffix_dedup(held, carry=("_others",), whole_characters=True)
+    text = F.col("kept_bytes").cast("string").alias("text")
+    return _recounted(out.select(*(c if c == "doc_id" else text if c == "text" else F.col("_others")[c].alias(c) for c in docs.columns)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from gridlake.llm import quality as Q
 from gridlake.llm.queries import tokenizer_path
 
 from .test_duplicates import Union, removed, shingles
-from .test_text_operators import _prose
+from .test_text_operators import _prose, plain_best_fit
 
 
 @pytest.fixture(scope="module")
@@ -86,4 +86,4 @@ def test_pipeline(spark, folder):
         want += [(i, p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:]))]
     packed = P.run(spark, path).collect()
     assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == sorted(want)
-    assert len({r["sequence_id"] for r in packed}) <= -(-sum(n for *_, n, _ in want) // 1024) + 1
+    assert len({r["sequence_id"] for r in packed}) == len(plain_best_fit([n for *_, n, _ in want], 1024))
