@@ -5,8 +5,9 @@ positions; the active ranks are taken in ascending order from a heap, and a merg
 makes with its neighbours. Because every merge's parts are made by earlier merges (checked when the file is read), new pairs
 rank later than the one in hand, and rank order over the whole batch is the order within each word.
 
-Words are found per blank-separated chunk of text, cached per worker up to a fixed number of chunks; what is beyond
-is encoded again in each batch. Normaliser and word pattern are the file's own, applied by the ``tokenizers`` library to distinct chunks.
+Normaliser and word pattern are the file's own. Texts in Latin script take these steps (NFC, lower case, the split pattern, the byte alphabet) here, if the
+file has just these; all others go through the ``tokenizers`` library's. Encoded words are cached per worker up to a fixed number; what is beyond is encoded
+again in each batch.
 No shuffle; memory is bounded by a slice of a batch and the cache.
 """
 
@@ -16,20 +17,30 @@ import functools
 import heapq
 import json
 import re
+import unicodedata
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import slices
+from .packing import byte_alphabet, slices
 
-CACHE = 300_000
+CACHE = 250_000
+
+
+# The steps that a file may state and that are taken here too.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordBpe:
+    #: Characters whose class or case is left to the library.
+    ODD = re.compile("[\x1c-\x1f\x85]|[^\x00-\u024f]")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -53,6 +64,24 @@ class WordBpe:
             self.rank[x, y] = len(self.merge)
             self.merge.append((x, y, z))
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
+        split, *more = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        plain = [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        usual = (spec["normalizer"] or {}).get("normalizers") == NORMALIZER and more == plain
+        usual = usual and split.get("pattern") == {"Regex": PATTERN} and split.get("behavior") == "Removed" and split.get("invert") is True
+        self.find = regex.compile(PATTERN).findall if usual else None
+        self.shown = {b: c for c, b in byte_alphabet().items()}
+
+    def _words(self, text: str) -> list[str] | None:
+        """Words of a text in lower case, found here; None if that is the library's to do."""
+        if self.find is None or self.ODD.search(text) or any(t in text for t in self.special):
+            return None
+        return self.find(text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower())
+
+    def _in_bytes(self, word: str) -> str:
+        if word.isascii() and word.isprintable():
+            return word  # a visible ASCII character stands for itself
+        return word.encode().decode("latin-1").translate(self.shown)
 
     def merge_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word (in the byte alphabet) by the pair occurrence index over all of them."""
@@ -97,38 +126,46 @@ class WordBpe:
             out.append(ids)
         return out
 
-    def encode_chunks(self, chunks: Iterable[str]) -> dict[str, tuple[bytes, str]]:
-        """(ids, decoded) of texts, by the batch's index of pairs."""
-        plans: dict[str, list[str | int]] = {}
-        for chunk in chunks:
-            plan: list[str | int] = []
-            for part in self.cut.split(chunk) if self.cut else [chunk]:
-                if part in self.special:
-                    plan.append(self.special[part])
-                elif part:
-                    plan += [w for w, _ in self.words_of(self.normalise(part))]
-            plans[chunk] = plan
-        words = sorted({w for plan in plans.values() for w in plan if isinstance(w, str)})
-        ids = dict(zip(words, self.merge_words(words)))
-        out = {}
-        for chunk, plan in plans.items():
-            own = [i for w in plan for i in (ids[w] if isinstance(w, str) else [w])]
-            out[chunk] = (np.array(own, "<u4").tobytes(), " ".join(map(self.token.__getitem__, own)))
-        return out
+    def encode_words(self, words: set[str]) -> dict[str, tuple[bytes, str]]:
+        """(ids, decoded) of words in the byte alphabet: what is cached, and the rest by the index of their pairs."""
+        out = {w: self.cache[w] for w in words & self.cache.keys()}
+        new = sorted(words - out.keys())
+        made = {w: (np.array(ids, "<u4").tobytes(), " ".join([self.token[i] for i in ids])) for w, ids in zip(new, self.merge_words(new))}
+        if (room := CACHE - len(self.cache)) > 0:
+            self.cache.update((w, made[w]) for w in [w for w in new if len(w) < 64][:room])
+        return out | made
+
+    def encode_odd(self, text: str) -> tuple[bytes, str]:
+        """The same of a text whose words the library finds."""
+        plan: list[str | int] = []
+        for part in self.cut.split(text) if self.cut else [text]:
+            if part in self.special:
+                plan.append(self.special[part])
+            elif part:
+                plan += [w for w, _ in self.words_of(self.normalise(part))]
+        known = self.encode_words({w for w in plan if isinstance(w, str)})
+        got = [known[x] if isinstance(x, str) else (np.array([x], "<u4").tobytes(), self.token[x]) for x in plan]
+        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        # str.split() also cuts at the separators \\x1c-\\x1f, which the file's pattern keeps; such texts stay in one chunk.
-        split = [[t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        missing = set().union(*split) - self.cache.keys() if split else set()
-        extra = self.encode_chunks(missing)
-        room = CACHE - len(self.cache)
-        if room > 0:
-            kept = [c for c in extra if len(c) < 64][:room]
-            self.cache.update((c, extra[c]) for c in kept)
-        known, out = self.cache, []
-        for chunks in split:
-            got = [known.get(c) or extra[c] for c in chunks]
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
+        found = [self._words(t) for t in texts]
+        missing = set().union(*(w for w in found if w)) - self.words.keys()
+        known = self.words
+        if missing:
+            shown = {w: self._in_bytes(w) for w in missing}
+            made = self.encode_words(set(shown.values()))
+            extra = {w: made[x] for w, x in shown.items()}
+            if len(known) + len(extra) <= CACHE:
+                known.update(extra)
+            else:
+                known = known | extra
+        out = []
+        for text, words in zip(texts, found):
+            if words is None:
+                out.append(self.encode_odd(text))
+            else:
+                got = [known[w] for w in words]
+                out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
         return out
 
 
