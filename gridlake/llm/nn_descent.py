@@ -7,8 +7,8 @@ the threshold or above: a list that saturates grows instead of dropping a link.
 audit finds the wanted recall; the audit compares a fixed number of vectors with all others, in blocks, and a failed audit adds new orders.
 Threshold edges stay, and give the components.
 
-Plan: a list around a hub is cut into blocks of ``BLOCK`` by a hash, so no vector's neighbourhood has to fit a task; blocks differ by
-round, so pairs that one round keeps apart meet in another. Vectors travel as float32 bytes and cosines are computed in double.
+Plan: a long list around a vector is cut into blocks of ``BLOCK`` by a hash, so no neighbourhood has to fit a task; a pair of a dense group meets around many
+vectors, and blocks differ by round, so pairs that one round keeps apart meet in another. Only pairs with a member that the last round brought are compared. Vectors travel as float32 bytes and cosines are computed in double.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -26,15 +26,16 @@ from .components import components
 
 THRESHOLD = 0.98
 K = 6
-BLOCK = 16
+#: Lists up to ``WHOLE`` members are compared whole, longer ones in blocks.
+WHOLE, BLOCK = 32, 6
 ORDERS = 6
 BITS = 10
 NEXT = 4
-MAX_ROUNDS = 8
+MAX_ROUNDS = 12
 #: A round that changes fewer lists than this share is the last before an audit.
-STILL = 0.01
+STILL = 0.0005
 AUDIT = 200
-RECALL = 0.99
+RECALL = 0.999
 
 
 def _signs(rows: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +80,7 @@ def _by_dimension(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def first_lists(reps: DataFrame, seed: int) -> DataFrame:
-    """``u, v, sim`` of vectors close in random orders of their label, in both directions."""
+    """``u, v, sim`` of vectors close in random orders of their label."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -108,7 +109,7 @@ def first_lists(reps: DataFrame, seed: int) -> DataFrame:
                     ok = (space[a] == space[c]) & (t[a] == t[c]) & (ids[a] != ids[c])
                     out.append((ids[a][ok], ids[c][ok], sim[ok]))
             u, v, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, v])), pa.array(np.concatenate([v, u])), pa.array(np.concatenate([s, s]))], ["u", "v", "sim"])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], ["u", "v", "sim"])
             last = now.slice(max(0, now.num_rows - NEXT))
 
     rows = reps.select("vec", "space", "v").mapInArrow(keys, "vec long, space long, t int, bucket long, at double, v binary")
@@ -118,40 +119,38 @@ def first_lists(reps: DataFrame, seed: int) -> DataFrame:
 
 
 def keep_best(edges: DataFrame, threshold: float) -> DataFrame:
-    """Each ``u``'s ``K`` best and all at the threshold or above; ``floor`` is its K-th best similarity."""
-    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("old").alias("old"))
+    """Each vector's ``K`` best of ``edges`` (in either direction) and all at the threshold or above; ``old`` is 0 for what was there before."""
+    pairs = edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("sim").alias("sim"), F.min("old").alias("old"))
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "old"))
     rank = F.row_number().over(W.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    ranked = once.withColumn("rank", rank).filter((F.col("rank") <= K) | (F.col("sim") >= threshold))
-    return ranked.select("u", "v", "sim", "old")
+    return both.withColumn("rank", rank).filter((F.col("rank") <= K) | (F.col("sim") >= threshold)).drop("rank")
 
 
 def _local_join(lists: DataFrame, reps: DataFrame, seed: int, threshold: float) -> DataFrame:
-    """Pairs of members around each vector that are news to one of them."""
+    """Pairs of members around each vector that are news to one of them, each pair in one direction."""
     floors = lists.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low")).select(F.col("u").alias("x"), F.when(F.col("n") >= K, F.col("low")).otherwise(-2.0).alias("floor"))
-    around = lists.select(F.col("u").alias("c"), F.col("v").alias("x")).unionByName(lists.select(F.col("v").alias("c"), F.col("u").alias("x"))).distinct()
-    many = around.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = around.join(many, "c").select("c", "x", F.pmod(F.xxhash64(F.lit(seed), "c", "x"), F.col("blocks")).alias("block"))
-    loaded = members.join(reps.select(F.col("vec").alias("x"), "v"), "x").join(floors, "x", "left").select("c", "block", "x", "v", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
+    around = lists.select(F.col("u").alias("c"), F.col("v").alias("x"), "old").unionByName(lists.select(F.col("v").alias("c"), F.col("u").alias("x"), "old"))
+    around = around.groupBy("c", "x").agg(F.max("old").alias("fresh"))
+    count = F.count("*")
+    many = around.groupBy("c").agg(F.when(count <= WHOLE, 1).otherwise(F.ceil(count / BLOCK)).alias("blocks"), F.max("fresh").alias("some")).filter("some = 1").drop("some")
+    members = around.join(many, "c").select("c", "x", "fresh", F.pmod(F.xxhash64(F.lit(seed), "c", "x"), F.col("blocks")).alias("block"))
+    loaded = members.join(reps.select(F.col("vec").alias("x"), "v"), "x").join(floors, "x", "left").select("c", "block", "x", "fresh", "v", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(b: pa.RecordBatch) -> pa.RecordBatch:
-            c, block, x, floor = (b.column(k).to_numpy() for k in ("c", "block", "x", "floor"))
+            c, block, x, fresh, floor = (b.column(k).to_numpy() for k in ("c", "block", "x", "fresh", "floor"))
             raw = b.column("v").to_pylist()
             cuts = np.flatnonzero((c[1:] != c[:-1]) | (block[1:] != block[:-1])) + 1
             out = []
             for i, j in zip([0, *cuts], [*cuts, len(c)]):
-                if j - i > 1:
+                if j - i > 1 and fresh[i:j].any():
                     m = _unit(np.frombuffer(b"".join(raw[i:j]), "<f4").reshape(j - i, -1).astype(np.float64))
                     s = np.clip(m @ m.T, -1, 1)
-                    f = floor[i:j]
-                    p, q = np.nonzero((s > f[:, None]) | (s >= threshold))
-                    ok = p != q
-                    p, q = p[ok], q[ok]
+                    f, new = floor[i:j], fresh[i:j] > 0
+                    news = ((s > f[:, None]) | (s > f[None, :]) | (s >= threshold)) & (new[:, None] | new[None, :])
+                    p, q = np.nonzero(np.triu(news, 1))
                     out.append((x[i:j][p], x[i:j][q], s[p, q]))
             u, v, s = (np.concatenate(k) for k in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            if len(u):  # a pair often meets around several vectors
-                _, first = np.unique(np.stack([u, v]), axis=1, return_index=True)
-                u, v, s = u[first], v[first], s[first]
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], ["u", "v", "sim"])
 
         held = None
@@ -197,7 +196,7 @@ def audit(reps: DataFrame, links: DataFrame, threshold: float, queries: int = AU
 def near_links(reps: DataFrame, threshold: float = THRESHOLD, wanted: float = RECALL) -> DataFrame:
     """Links ``u, v`` (both directions) between different classes at ``threshold`` or above."""
     n = reps.count()
-    lists = checkpointed(keep_best(first_lists(reps, 1).withColumn("old", F.lit(0)), threshold))
+    lists = checkpointed(keep_best(first_lists(reps, 1).withColumn("old", F.lit(1)), threshold))
     for seed in range(2, 2 + MAX_ROUNDS):
         news = _local_join(lists, reps, seed, threshold)
         joined = lists.withColumn("old", F.lit(0)).unionByName(news.withColumn("old", F.lit(1)))
@@ -207,9 +206,9 @@ def near_links(reps: DataFrame, threshold: float = THRESHOLD, wanted: float = RE
             total, hit = audit(reps, lists.filter(F.col("sim") >= threshold), threshold)
             if hit >= wanted * total:
                 break
-            lists = checkpointed(keep_best(lists.unionByName(first_lists(reps, seed).withColumn("old", F.lit(1))), threshold))
-    good = lists.filter(F.col("sim") >= threshold).select("u", "v")
-    return good.unionByName(good.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+            more = first_lists(reps, seed).withColumn("old", F.lit(1))
+            lists = checkpointed(keep_best(lists.withColumn("old", F.lit(0)).unionByName(more), threshold))
+    return lists.filter(F.col("sim") >= threshold).select("u", "v")  # both directions are kept at the threshold
 
 
 def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
