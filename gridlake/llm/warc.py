@@ -203,6 +203,11 @@ def write_arcs(pages: DataFrame, folder: str, version: int = 2, date: str = "202
     return pages.select("key", "url", "html").mapInArrow(run, "path string, name string, offset long, key string, url string, digest string, n_bytes long")
 
 
+def _a_task_each(files: DataFrame, n: int) -> DataFrame:
+    """Rows that name files, dealt to a task for each: by a stated number, as their own size would make them one partition."""
+    return files.repartition(max(1, n), "path")
+
+
 def convert_arcs(records: DataFrame, folder: str, order: str = "key", min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Convert the ARC files that ``records`` (checkpointed rows of ``write_arcs``) lists; returns ``path`` of each WARC file.
 
@@ -214,7 +219,8 @@ def convert_arcs(records: DataFrame, folder: str, order: str = "key", min_revisi
     groups = big.groupBy("digest").agg(F.min(F.struct(order, "name", "offset", "url")).alias("f"), F.count("*").alias("n")).filter("n > 1")
     first = groups.select("digest", rid("f.name", "f.offset", "f.url", "digest").alias("first"))
     shared = big.select("path", "digest").distinct().join(first, "digest").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("digest", "first"))).alias("first"))
-    files = records.select("path", "name").distinct().join(shared, "path", "left").repartition("path")
+    named = records.select("path", "name").distinct()
+    files = _a_task_each(named.join(shared, "path", "left"), named.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +263,7 @@ def read_warcs(files: DataFrame) -> DataFrame:
         kinds = [pa.int64() if n == "payload_bytes" else pa.string() for n in names]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return files.repartition("path").mapInArrow(run, ", ".join(f"{n} {'long' if n == 'payload_bytes' else 'string'}" for n in names))
+    return _a_task_each(files, files.count()).mapInArrow(run, ", ".join(f"{n} {'long' if n == 'payload_bytes' else 'string'}" for n in names))
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, version: int = 2, min_revisit: int = MIN_REVISIT) -> DataFrame:
