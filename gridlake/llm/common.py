@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -30,12 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or _test_dir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the shared folder."""
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and checkpoints that nothing refers to any more.
+
+    Spark deletes them when the driver collects its garbage, which a driver with a large heap does late.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage through a reliable checkpoint in the shared folder.
+
+    With ``rows``, the result is read in partitions of about that many rows at least: what iterations make is small and would
+    otherwise go on in ever more, ever emptier tasks.
+    """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.sparkContext.setCheckpointDir(_test_dir())
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return out if rows is None else out.coalesce(max(1, out.count() // rows))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -44,8 +59,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Like a checkpoint, but compressed and columnar, for tables that are large or read several times.
     """
     path = f"{shared_dir(df.sparkSession)}/gridlake/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``staged``, once all that was made of them is staged too."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(t._staged_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -32,6 +32,8 @@ BANDS, ROWS = 25, 5
 #: Times that the members left in a bucket form a new star.
 NEW_STARS = 3
 SEGMENT = 1 << 18
+#: Rows of pairs and components that a partition holds, at least.
+PAIRS = 50_000
 
 _U = np.uint64
 
@@ -197,7 +199,7 @@ def minhash_dedup(docs: DataFrame, text: str = "text", percent: int = PERCENT) -
 
     Words are runs of anything but ASCII blanks, A-Z lower-cased; shingles are of five words. ``component_id`` is the smallest doc_id reachable by links
     of at least ``percent`` in a hundred Jaccard similarity, itself included; the empty set links with nothing. ``doc_id`` must be
-    an integer and stands for its document: rows that repeat an id share its links. Rows with a null id come back unlinked with a null component and not kept. An empty table gives an empty result.
+    an integer and stands for its document: rows that repeat an id share the smallest of their components. Rows with a null id come back unlinked with a null component and not kept. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     sigs = staged(signatures(docs), "signatures")
@@ -217,10 +219,10 @@ def minhash_dedup(docs: DataFrame, text: str = "text", percent: int = PERCENT) -
     sets = staged(_sets(docs.join(wanted, "doc_id", "left_semi")).groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "sets")
 
     best = edges.groupBy("doc").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre"))
-    links = checkpointed(_confirmed(best.select(*_pair("doc", "centre")).distinct(), sets, percent))
+    links = checkpointed(_confirmed(best.select(*_pair("doc", "centre")).distinct(), sets, percent), PAIRS)
     tried, left, parts = None, stars, None
     for step in range(NEW_STARS + 1):
-        parts = parts or checkpointed(components(links))
+        parts = parts or checkpointed(components(links), PAIRS)
         of = lambda name, out: parts.select(F.col("node").alias(name), F.col("component").alias(out))  # noqa: B023, E731
         if step == 0:
             pairs = edges.select("doc", "centre")
@@ -230,18 +232,21 @@ def minhash_dedup(docs: DataFrame, text: str = "text", percent: int = PERCENT) -
             left = left.join(of("doc", "p"), "doc", "left").join(of("centre", "q"), "centre", "left")
             left = left.filter(part != F.coalesce("q", "centre")).select("doc", "h", part.alias("part"))
             again = left.groupBy("h").agg(F.min(order)["doc"].alias("centre"), F.min("part").alias("p0"), F.max("part").alias("p1"))
-            left = checkpointed(left.select("doc", "h").join(again.filter("p0 <> p1").select("h", "centre"), "h"))
+            left = checkpointed(left.select("doc", "h").join(again.filter("p0 <> p1").select("h", "centre"), "h"), PAIRS)
             pairs = left.filter("doc <> centre").select("doc", "centre").distinct()
         apart = pairs.join(of("doc", "p"), "doc", "left").join(of("centre", "q"), "centre", "left").filter(F.coalesce("p", "doc") != F.coalesce("q", "centre"))
         fresh = apart.select(*_pair("doc", "centre")).distinct()
-        fresh = checkpointed(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"))
+        fresh = checkpointed(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), PAIRS)
         if fresh.isEmpty():
             if step:
                 break
             continue
         tried = fresh if tried is None else tried.unionByName(fresh)
-        links, parts = checkpointed(links.unionByName(_confirmed(fresh, sets, percent))), None
-    found = components(links.unionByName(copies))
+        links, parts = checkpointed(links.unionByName(_confirmed(fresh, sets, percent)), PAIRS), None
+    parts = parts or checkpointed(components(links), PAIRS)
+    # A copy is never the least of its class, so it only takes over the component.
+    taken = copies.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").select(F.col("b").alias("node"), F.coalesce("component", "a").alias("component"))
+    found = parts.unionByName(taken).groupBy("node").agg(F.min("component").alias("component"))
     out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     part = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", part.alias("component_id"), F.coalesce(F.col("doc_id") == part, F.lit(False)).alias("kept"))
