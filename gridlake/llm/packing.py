@@ -26,7 +26,7 @@ CAPACITY = 1024
 END_ID = 2
 GROUP_PIECES = 16384
 #: Entries of a worker's cache of encoded text chunks.
-CACHE = 400_000
+CACHE = 200_000
 SLICE_BYTES = 8 << 20
 
 
@@ -107,10 +107,10 @@ def encoder(path: str) -> ByteBpeEncoder:
     return ByteBpeEncoder(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that ``column`` holds about ``SLICE_BYTES`` in each."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that ``column`` holds about ``size`` bytes in each."""
     for batch in batches:
-        rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.column(column).nbytes)))
+        rows = max(1, int(batch.num_rows * size / max(1, batch.column(column).nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 

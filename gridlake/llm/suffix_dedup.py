@@ -26,16 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
-from .common import staged
+from .common import discard, staged
 from .minhash import _mix
 from .packing import slices
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 HOT = 4096
+#: Hot grams up to this number (of eight bytes each) are broadcast.
+BROADCAST = 10_000
 #: Bytes that a worker winnows, or sorts as one suffix array, at a time.
 CHUNK = 1 << 17
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
+#: Bytes of texts or segments taken up at a time; what is made of them is some tens of times as large.
+TAKEN = 1 << 20
 #: Start positions in a segment, at most.
 LONGEST_RUN = 512
 #: Gram hashes that a bucket holds, about.
@@ -50,8 +54,9 @@ _P = [_U(pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64)) for i in range(5)]
 def _windows(text: np.ndarray, length: int) -> np.ndarray:
     """The least gram hash of each ``length``-byte string."""
     h = text.astype(_U) + _U(1)
-    for i in range(4):  # grams of 2, 4, 8, 16 bytes
+    for i in range(3):  # grams of 2, 4, 8 bytes
         h = h[: -(1 << i)] * _P[i] + h[1 << i :]
+    h = (h[:-16] * _P[3] + h[8:-8]) * _P[3] + h[16:]  # three of 8
     h = _mix(h)
     width, done = length - GRAM + 1, 1
     while done < width:
@@ -114,7 +119,7 @@ def shared_grams(docs: DataFrame, bits: int, length: int) -> DataFrame:
             new = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
             known = ~new | np.concatenate([~new[1:], [False]]) if len(g) else new
             # Known here already: these need no bucket. The key only spreads them.
-            rows = [(-1 - int(abs(int(ts[0])) % 65536) if len(ts) else -1, ids[o[known]], ts[o[known]], g[known])]
+            rows = [(-1 - int(ids[0]) * 2654435761 % 65536, ids[o[known]], ts[o[known]], g[known])]
             o, g = o[new], g[new]
             bucket = (g.view(_U) >> _U(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -156,7 +161,7 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
     """``id, t, start, count, gram, seg`` of the runs whose gram is in the document's ``grams``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "b"):
+        for batch in slices(batches, "b", TAKEN):
             texts = _texts(batch)
             owner, start, count, gram = runs(texts, length)
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -188,14 +193,14 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
 
 def _names(*keys: np.ndarray) -> tuple[np.ndarray, int]:
     """Dense ranks from 1 of rows, by their columns in order."""
-    rank = keys[0]
+    rank, top = keys[0], int(keys[0].max(initial=0)) + 1
     for nxt in keys[1:]:
-        both = rank.astype(np.int64) * (int(nxt.max(initial=0)) + 1) + nxt
-        values, rank = np.unique(both, return_inverse=True)
-        if len(values) == len(both):
-            break
-    else:
-        values, rank = np.unique(rank, return_inverse=True)
+        base = int(nxt.max(initial=0)) + 1
+        if top * base >= 1 << 62:  # too wide for one number: name what there is first
+            values, rank = np.unique(rank, return_inverse=True)
+            top = len(values)
+        rank, top = rank * base + nxt, top * base
+    values, rank = np.unique(rank, return_inverse=True)
     return rank + 1, len(values)
 
 
@@ -206,41 +211,40 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     one, two = np.arange(1, n + 1 + (n % 3 == 1), 3), np.arange(2, n + 1, 3)
     one = one[one <= n]
     sample = np.concatenate([one, two])
-    sample = sample[sample < n + 1]
     # Sort and name the triples at the sample positions.
     names, distinct = _names(t[sample], t[sample + 1], t[sample + 2])
     rank = np.zeros(n + 4, np.int64)
     if distinct < len(sample) and depth > 3:
-        inner = suffix_ranks(names, -(-depth // 3))  # recurse on the names: those of one class, then of the other
-        rank[sample] = inner + 1
+        rank[sample] = suffix_ranks(names, -(-depth // 3)) + 1  # recurse on the names: those of one class, then of the other
     else:
         rank[sample] = names
     # The remaining suffixes: a symbol, then the rank that follows.
+    top, width = int(rank.max(initial=0)) + 1, int(t.max(initial=0)) + 1
+    pairs = t[: n + 2] * width + t[1 : n + 3]
+    if width * width * top >= 1 << 62:
+        pairs, _ = _names(t[: n + 2], t[1 : n + 3])
     rest = np.arange(0, n, 3)
-    top = int(rank.max(initial=0)) + 1
-    key1 = lambda p: t[p] * top + rank[p + 1]
-    pairs, _ = _names(np.concatenate([t[:n], np.zeros(2, np.int64)]), np.concatenate([t[1 : n + 1], np.zeros(2, np.int64)]))
-    key2 = lambda p: pairs[p] * top + rank[p + 2]
-    rest = rest[np.argsort(key1(rest), kind="stable")]
+    rest = rest[np.argsort(t[rest] * top + rank[rest + 1])]
     # Merge: how many of either kind stand before each of the other.
-    s1, s2 = one[one < n], two[two < n]
-    s1, s2 = s1[np.argsort(rank[s1], kind="stable")], s2[np.argsort(rank[s2], kind="stable")]
+    ordered = sample[np.argsort(rank[sample])]
+    ordered = ordered[ordered < n]
+    kind = ordered % 3 == 1
+    s1, s2 = ordered[kind], ordered[~kind]
+    k1, k2 = t[rest] * top + rank[rest + 1], pairs[rest] * top + rank[rest + 2]
+    own1, own2 = t[s1] * top + rank[s1 + 1], pairs[s2] * top + rank[s2 + 2]
     final = np.zeros(n, np.int64)
-    k1, k2 = key1(rest), key2(rest)
-    final[rest] = np.arange(len(rest)) + np.searchsorted(key1(s1), k1) + np.searchsorted(key2(s2), np.sort(k2))[np.argsort(np.argsort(k2, kind="stable"))]
-    in_sample = np.concatenate([s1, s2])
-    in_sample = in_sample[np.argsort(rank[in_sample], kind="stable")]
-    before = np.zeros(n, np.int64)
-    before[s1] = np.searchsorted(k1, key1(s1), side="right")
-    before[s2] = np.searchsorted(np.sort(k2), key2(s2), side="right")
-    final[in_sample] = np.arange(len(in_sample)) + before[in_sample]
+    final[rest] = np.arange(len(rest)) + np.searchsorted(own1, k1) + np.searchsorted(own2, k2)
+    before = np.zeros(len(ordered), np.int64)
+    before[kind] = np.searchsorted(k1, own1, side="right")
+    before[~kind] = np.searchsorted(np.sort(k2, kind="stable"), own2, side="right")
+    final[ordered] = np.arange(len(ordered)) + before
     return final
 
 
 def least_owner(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
     """For each start, the least owner of an equal ``length``-byte string among the starts."""
-    order = starts_order = np.argsort(suffix_ranks(text.astype(np.int64) + 1, length)[starts], kind="stable")
-    p = starts[starts_order]
+    order = np.argsort(suffix_ranks(text.astype(np.int64) + 1, length)[starts])
+    p = starts[order]
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     words = np.ndarray((len(text),), "<u8", padded.data, 0, (1,))
     same = np.ones(max(0, len(p) - 1), bool)
@@ -289,7 +293,7 @@ def block_verdicts(distinct: DataFrame, length: int, partitions: int) -> DataFra
             return pa.RecordBatch.from_arrays([*(held.column(c) for c in ("s1", "s2", "first")), pa.array(offs, kind), pa.array(lens, kind)], ["s1", "s2", "first", "offs", "lens"])
 
         held = None
-        for batch in slices(batches, "seg"):
+        for batch in slices(batches, "seg", TAKEN):
             now = batch if held is None else pa.concat_batches([held, batch])
             gram = now.column("gram").to_numpy()
             edge = np.flatnonzero(gram[1:] != gram[:-1])
@@ -357,24 +361,34 @@ def suffix_dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, carr
     A null text is empty. ``doc_id`` is an integer; a null id counts as the largest. Rows that repeat an id do not remove from each other. Texts
     under ``length`` bytes never change. An empty table gives an empty result.
     """
-    assert length >= 2 * GRAM
+    assert length > GRAM
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id"), *carry, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), body.alias("b")).withColumn("t", F.xxhash64("b"))
+    rows = docs.select(F.col("doc_id"), *carry, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), body.alias("b"))
+    # Only repeated ids need their text's hash to tell their rows apart.
+    repeats = not rows.groupBy("id").count().filter("count > 1").isEmpty()
+    rows = rows.withColumn("t", F.xxhash64("b") if repeats else F.lit(0).cast("long"))
     heads = staged(rows.select("id", "t", F.sha2("b", 256).alias("sha"), F.octet_length("b").alias("n")), "heads")
     firsts = heads.filter(F.col("n") >= length).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("c"))
     copies = heads.join(firsts.filter("c > 1").select("sha", "first"), "sha").filter("id > first").select("id", "t", "n").distinct()
     total = heads.agg(F.sum("n")).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(1, 2 * total / (length - GRAM + 2) / BUCKET)))))
 
-    grams = shared_grams(rows, bits, length)
+    grams = staged(shared_grams(rows, bits, length), "grams")
     lists = grams.groupBy("id", "t").agg(F.collect_list("gram").alias("grams")).join(copies.select("id", "t"), ["id", "t"], "left_anti")
     segs = staged(segments(rows.select("id", "t", "b").join(lists, ["id", "t"]), length), "segments")
+    discard(grams)
     digest = [F.xxhash64("seg").alias("s1"), F.xxhash64(F.lit(3), "seg").alias("s2")]
     distinct = staged(segs.groupBy("gram", "seg").agg(F.min("id").alias("first")).select("gram", "seg", *digest, "first"), "distinct")
-    crowd = distinct.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("gram", F.lit(True).alias("hot"))
-    marked = distinct.join(crowd, "gram", "left")
+    crowd = staged(distinct.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("gram"), "crowd")
     shuffle = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    verdicts = block_verdicts(marked.filter("hot is null").drop("hot"), length, shuffle).unionByName(hot_verdicts(marked.filter("hot"), length))
+    n_hot = crowd.count()
+    if n_hot:
+        hot = F.broadcast(crowd) if n_hot <= BROADCAST else crowd
+        verdicts = block_verdicts(distinct.join(hot, "gram", "left_anti"), length, shuffle).unionByName(hot_verdicts(distinct.join(hot, "gram", "left_semi"), length))
+    else:
+        verdicts = block_verdicts(distinct, length, shuffle)
+    verdicts = staged(verdicts, "verdicts")
+    discard(distinct, crowd)
 
     found = segs.select("id", "t", "start", "count", *digest).join(verdicts, ["s1", "s2"])
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("count") + length - 1).alias("z")))
@@ -382,6 +396,8 @@ def suffix_dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, carr
     ranges = found.select("id", "t", F.when(F.col("id") > F.col("first"), whole).otherwise(parts).alias("r")).filter(F.size("r") > 0)
     gone = copies.select("id", "t", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("z"))).alias("r"))
     merged = ranges.unionByName(gone).groupBy("id", "t").agg(F.flatten(F.collect_list("r")).alias("ranges"))
+    merged = staged(merged, "ranges")
+    discard(segs, verdicts, heads)
     out = rows.join(merged, ["id", "t"], "left").select("doc_id", *carry, "b", "ranges")
     schema = out.drop("ranges").schema
     for name, made in (("starts", ArrayType(LongType())), ("ends", ArrayType(LongType())), ("kept_bytes", BinaryType())):
