@@ -6,7 +6,9 @@ a bucket is a star around one member, whose choice differs by bucket, so its can
 
 Candidates are confirmed on full shingle sets. Documents with equal sets are first one class (a 128-bit digest of the set), and only the class's smallest id goes
 on. Confirmation goes in steps, each leaving out pairs whose ends are already in one component: first each document's most frequent
-centre, then every star edge, then new stars among the members of a bucket that the first star left in other components.
+centre, then every star edge, then a few new stars among the members of a bucket that the first star left in other components. Stars only join
+most members cheaply; what decides is the last step, which compares every two members of a bucket that are still in different components, in
+blocks. Parities of the sets bound their differences there, so that only pairs that can be similar enough go on to full sets.
 
 At J = 0.85 a pair misses all 25 bands of 5 bins with probability 4e-7.
 """
@@ -29,8 +31,10 @@ WORDS = 5
 PERCENT = 85
 BINS = 128
 BANDS, ROWS = 25, 5
-#: Times that the members left in a bucket form a new star.
+#: Times that the members left in a bucket form a new star, before all that are still apart are compared.
 NEW_STARS = 3
+#: Members of a bucket that a block holds, about, and bits of a set's parities.
+BLOCK, BITS = 512, 1024
 SEGMENT = 1 << 18
 #: Rows of pairs and components that a partition holds, at least.
 PAIRS = 50_000
@@ -190,6 +194,76 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether each of ``BITS`` classes of hashes has an odd number of members: two sets differ in at least as many shingles as in bits."""
+    odd = np.bincount((shingles & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(_U)
+
+
+def _marks(sets: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), _U) for x in batch.column("shingles")]
+            marks = pa.array([parities(s).tobytes() for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), marks], ["doc", "n", "marks"])
+
+    return sets.mapInArrow(run, "doc long, n long, marks binary")
+
+
+def _apart(stars: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of all members of a bucket in different components that sizes and parities let reach ``percent``.
+
+    Only buckets with several components go on. Their largest component is dealt into blocks of its own, which meet the other members but not one another,
+    so that a large group with a few others beside it costs its members once.
+    """
+    part = F.coalesce("p", "doc")
+    members = stars.select("h", "doc").join(parts.select(F.col("node").alias("doc"), F.col("component").alias("p")), "doc", "left").select("h", "doc", part.alias("part"))
+    mixed = members.groupBy("h").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 <> p1").select("h")
+    members = checkpointed(members.join(mixed, "h"), PAIRS)
+    each = members.groupBy("h", "part").agg(F.count("*").alias("size"))
+    blocks = each.groupBy("h").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("large"), F.sum("size").alias("all"))
+    blocks = blocks.select("h", "main", F.ceil(F.col("large") / BLOCK).alias("mains"), F.ceil((F.col("all") - F.col("large")) / BLOCK).alias("rests"))
+    salt, main = F.xxhash64(F.lit(17), "doc"), F.col("part") == F.col("main")
+    dealt = members.join(blocks, "h").withColumn("g", F.when(main, F.col("rests") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("rests"))))
+    dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") + F.when(main, 0).otherwise(F.col("mains")) - 1)))
+    dealt = dealt.select("h", F.least("g", "x").alias("i"), F.greatest("g", "x").alias("j"), "g", "doc", "part")
+    loaded = dealt.join(_marks(sets.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")), "doc")
+
+    def pairs(b: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
+        g, i, j, doc, part, n = (b.column(k).to_numpy() for k in ("g", "i", "j", "doc", "part", "n"))
+        marks = np.frombuffer(b"".join(b.column("marks").to_pylist()), _U).reshape(-1, BITS // 64)
+        found = [np.zeros((0, 2), np.int64)]
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            at = np.arange(a, z)
+            left, right = at[g[a:z] == i[a]], at[g[a:z] == j[a]]
+            for k in left.tolist():
+                y = right[(part[right] != part[k]) & (doc[right] > doc[k] if i[a] == j[a] else True)]
+                both, low, high = n[y] + n[k], np.minimum(n[y], n[k]), np.maximum(n[y], n[k])
+                y, both = (v[100 * low >= percent * high] for v in (y, both))
+                # With s the sum of the sizes and d their difference in shingles, the similarity is (s - d) / (s + d).
+                d = np.bitwise_count(marks[y] ^ marks[k]).sum(axis=1, dtype=np.int64)
+                y = y[100 * (both - d) >= percent * (both + d)]
+                found.append(np.stack([np.minimum(doc[y], doc[k]), np.maximum(doc[y], doc[k])], axis=1))
+        ab = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            now = b if held is None else pa.concat_batches([held, b])
+            h, i, j = (now.column(k).to_numpy() for k in ("h", "i", "j"))
+            cuts = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            end = int(cuts[-1]) if len(cuts) else 0  # the last pair of blocks may go on in the next batch
+            if end:
+                yield pairs(now.slice(0, end), np.concatenate([[0], cuts]))
+            held = now.slice(end)
+        if held is not None and held.num_rows:
+            yield pairs(held, np.array([0, held.num_rows]))
+
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return loaded.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -244,6 +318,11 @@ def minhash_dedup(docs: DataFrame, text: str = "text", percent: int = PERCENT) -
         tried = fresh if tried is None else tried.unionByName(fresh)
         links, parts = checkpointed(links.unionByName(_confirmed(fresh, sets, percent)), PAIRS), None
     parts = parts or checkpointed(components(links), PAIRS)
+    # Whatever the stars left untested in a bucket, and its members already joined, as possible partners.
+    fresh = _apart(stars, parts, sets, percent)
+    fresh = checkpointed(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), PAIRS)
+    if not fresh.isEmpty():
+        parts = checkpointed(components(links.unionByName(_confirmed(fresh, sets, percent))), PAIRS)
     # A copy is never the least of its class, so it only takes over the component.
     taken = copies.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").select(F.col("b").alias("node"), F.coalesce("component", "a").alias("component"))
     found = parts.unionByName(taken).groupBy("node").agg(F.min("component").alias("component"))

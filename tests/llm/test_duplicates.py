@@ -119,6 +119,43 @@ def test_minhash(spark):
     assert M.minhash_dedup(docs(spark, [])).count() == 0
 
 
+def test_minhash_outliers_of_a_large_group(spark):
+    """Each outlier is near one member of a large group and far from the others, so stars do not meet the pair."""
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(404)]
+
+    def changed(words, places):
+        words = list(words)
+        for k in places:
+            words[k] = word()
+        return words
+
+    members = [changed(base, rng.sample(range(10, 200, 10), 2)) for _ in range(250)]
+    outliers = [changed(members[k * 6], rng.sample(range(210, 400, 10), 5)) for k in range(40)]
+    rows = [(1000 + i, " ".join(w)) for i, w in enumerate(members)] + [(i, " ".join(w)) for i, w in enumerate(outliers)]
+    sets = {i: shingles(t) for i, t in rows}
+    u, true = Union(sets), dict.fromkeys(range(40), 0)
+    for i in sets:
+        for j in sets:
+            k = len(sets[i] & sets[j])
+            if i < j and 100 * k >= 85 * (len(sets[i]) + len(sets[j]) - k):
+                u.join(i, j)
+                if i < 40:
+                    true[i] += 1
+    assert sum(1 <= n <= 3 for n in true.values()) >= 35
+    got = {r["doc_id"]: r["component_id"] for r in M.minhash_dedup(docs(spark, rows)).collect()}
+    assert got == {i: u.find(i) for i in sets}
+
+
+def test_parities_bound_differences():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 50, 3000):
+        x, y = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2))
+        y = np.unique(np.concatenate([x[: n // 2], y]))
+        assert np.bitwise_count(M.parities(x) ^ M.parities(y)).sum() <= len(np.setxor1d(x, y))
+
+
 # Suffix dedup
 
 
