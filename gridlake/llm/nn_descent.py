@@ -3,9 +3,10 @@
 Vectors are compared within a label. Identical vectors are one class first. Random sign projections order the vectors of a label, and neighbours in these orders
 give each vector its first neighbour list. Then NN-descent: around every vector its neighbours, forward and reverse, are
 compared with each other, and each vector keeps the best it has met. A list keeps ``K`` entries and, beyond them, every neighbour at
-the threshold or above: a list that saturates grows instead of dropping a link. Rounds go on until few lists change and an
-audit finds the wanted recall; the audit compares a fixed number of vectors with all others, in blocks, and a failed audit adds new orders.
-Threshold edges stay, and give the components.
+the threshold or above: a list that saturates grows instead of dropping a link. Rounds go on until few vectors get new links; then
+an audit compares some vectors of every label with the whole label, in blocks, and judges the recall of each vector, those with few links apart from
+those with many. A failed audit adds new orders. A label stays with what the search found only if its audit passed on enough vectors with few links;
+any other, be it that rounds ran out or that too few of its vectors have links to judge by, is compared exactly, in the same blocks.
 
 Plan: a long list around a vector is cut into blocks of ``BLOCK`` by a hash, so no neighbourhood has to fit a task; a pair of a dense group meets around many
 vectors, and blocks differ by round, so pairs that one round keeps apart meet in another. Only pairs with a member that the last round brought are compared. Vectors travel as float32 bytes and cosines are computed in double.
@@ -32,10 +33,13 @@ ORDERS = 6
 BITS = 10
 NEXT = 4
 MAX_ROUNDS = 12
-#: A round that changes fewer lists than this share is the last before an audit.
+#: A round that brings new links to fewer vectors than this share is the last before an audit.
 STILL = 0.0005
-AUDIT = 200
+#: Vectors of a label that an audit draws, about, and how many with links, but fewer than ``K``, it has to find among them.
+AUDIT, ENOUGH = 1000, 50
 RECALL = 0.999
+#: Vectors of a label that a block of a comparison with the whole label holds, about.
+SIDE = 2048
 
 
 def _signs(rows: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,46 +173,78 @@ def _local_join(lists: DataFrame, reps: DataFrame, seed: int, threshold: float)
     return loaded.repartition(n, "c", "block").sortWithinPartitions("c", "block", "x").mapInArrow(compare, "u long, v long, sim double")
 
 
-def audit(reps: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT) -> tuple[int, int]:
-    """True links of ``queries`` vectors, chosen by a hash, and how many of them ``links`` has. The queries, a fixed number, are broadcast."""
-    chosen = reps.orderBy(F.xxhash64(F.lit("audit"), "vec")).limit(queries).select("vec", "space", "v").collect()
-    by_dim: dict[int, list] = {}
-    for r in chosen:
-        by_dim.setdefault(len(r["v"]), []).append(r)
-    ready = {n: (np.array([r["vec"] for r in rs]), np.array([r["space"] for r in rs]), _unit(np.frombuffer(b"".join(bytes(r["v"]) for r in rs), "<f4").reshape(len(rs), -1).astype(np.float64))) for n, rs in by_dim.items()}
+def true_links(some: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """All links ``u, v`` at the threshold or above of the vectors ``some`` with those of ``reps`` in their label, by comparison in blocks."""
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("space").agg(F.ceil(F.count("*") / SIDE).alias(name))
+
+    sides = blocks(some, "lefts").join(blocks(reps, "rights"), "space")
+    own = lambda n: F.pmod(F.xxhash64(F.lit(23), "vec"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = some.join(sides, "space").select("space", own("lefts").alias("i"), every("rights").alias("j"), F.lit(0).alias("side"), "vec", "v")
+    right = reps.join(sides, "space").select("space", every("lefts").alias("i"), own("rights").alias("j"), F.lit(1).alias("side"), "vec", "v")
+
+    def pairs(b: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        side, ids, raw = b.column("side").to_numpy(), b.column("vec").to_numpy(), b.column("v")
+        for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            cut = p + int(np.searchsorted(side[p:q], 1))
+            if p < cut < q:
+                u, v = np.nonzero(_unit(_matrix(raw.slice(p, cut - p))) @ _unit(_matrix(raw.slice(cut, q - cut))).T >= threshold)
+                u, v = ids[p:cut][u], ids[cut:q][v]
+                yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in _by_dimension(whole):
-                got = ready.get(len(b.column("v")[0].as_py())) if b.num_rows else None
-                if got is not None:
-                    ids, space = b.column("vec").to_numpy(), b.column("space").to_numpy()
-                    hit = (got[2] @ _unit(_matrix(b.column("v"))).T >= threshold) & (got[1][:, None] == space[None, :]) & (got[0][:, None] != ids[None, :])
-                    p, q = np.nonzero(hit)
-                    yield pa.RecordBatch.from_arrays([pa.array(got[0][p]), pa.array(ids[q])], ["u", "v"])
+        held = None
+        for b in batches:
+            now = b if held is None else pa.concat_batches([held, b])
+            space, i, j = (now.column(k).to_numpy() for k in ("space", "i", "j"))
+            cuts = np.flatnonzero((space[1:] != space[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            end = int(cuts[-1]) if len(cuts) else 0  # the last pair of blocks may go on in the next batch
+            if end:
+                yield from pairs(now.slice(0, end), np.concatenate([[0], cuts]))
+            held = now.slice(end)
+        if held is not None and held.num_rows:
+            yield from pairs(held, np.array([0, held.num_rows]))
+
+    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.unionByName(right).repartition(n, "space", "i", "j").sortWithinPartitions("space", "i", "j", "side").mapInArrow(run, "u long, v long")
+
 
-    true = reps.select("vec", "space", "v").mapInArrow(run, "u long, v long")
-    found = links.select("u", "v", F.lit(1).alias("hit"))
-    row = true.join(found, ["u", "v"], "left").agg(F.count("*"), F.count("hit")).first()
-    return row[0], row[1]
+def audit(reps: DataFrame, links: DataFrame, threshold: float, wanted: float) -> DataFrame:
+    """``space, passed, failed`` of the labels in which drawn vectors have links: whether they tell enough and ``links`` has them, and whether some are missing."""
+    share = reps.groupBy("space").agg((F.lit(float(AUDIT)) / F.count("*")).alias("share"))
+    drawn = reps.join(share, "space").filter(F.pmod(F.xxhash64(F.lit("audit"), "vec"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("vec", "space", "v")
+    true = true_links(drawn, reps, threshold).join(links.select("u", "v", F.lit(1).alias("hit")), ["u", "v"], "left")
+    each = true.groupBy("u").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).join(drawn.select(F.col("vec").alias("u"), "space"), "u")
+    kind = each.groupBy("space", (F.col("n") < K).alias("few")).agg(F.count("*").alias("n"), F.avg(F.col("hits") / F.col("n")).alias("recall"))
+    of = kind.groupBy("space").agg(F.min("recall").alias("recall"), F.sum(F.when(F.col("few"), F.col("n")).otherwise(0)).alias("n"))
+    return of.select("space", ((F.col("recall") >= wanted) & (F.col("n") >= ENOUGH)).alias("passed"), (F.col("recall") < wanted).alias("failed"))
 
 
 def near_links(reps: DataFrame, threshold: float = THRESHOLD, wanted: float = RECALL) -> DataFrame:
     """Links ``u, v`` (both directions) between different classes at ``threshold`` or above."""
     n = reps.count()
     lists = checkpointed(keep_best(first_lists(reps, 1).withColumn("old", F.lit(1)), threshold))
+    verdict = None
     for seed in range(2, 2 + MAX_ROUNDS):
         news = _local_join(lists, reps, seed, threshold)
         joined = lists.withColumn("old", F.lit(0)).unionByName(news.withColumn("old", F.lit(1)))
-        lists = checkpointed(keep_best(joined, threshold))
-        fresh = lists.filter("old = 1").agg(F.countDistinct("u")).first()[0]
+        lists, verdict = checkpointed(keep_best(joined, threshold)), None
+        fresh = lists.filter((F.col("old") == 1) & (F.col("sim") >= threshold)).agg(F.countDistinct("u")).first()[0]
         if fresh <= STILL * n:
-            total, hit = audit(reps, lists.filter(F.col("sim") >= threshold), threshold)
-            if hit >= wanted * total:
+            verdict = checkpointed(audit(reps, lists.filter(F.col("sim") >= threshold), threshold, wanted))
+            if verdict.filter("failed").isEmpty():
                 break
-            more = first_lists(reps, seed).withColumn("old", F.lit(1))
-            lists = checkpointed(keep_best(lists.withColumn("old", F.lit(0)).unionByName(more), threshold))
-    return lists.filter(F.col("sim") >= threshold).select("u", "v")  # both directions are kept at the threshold
+            if seed < 1 + MAX_ROUNDS:
+                more = first_lists(reps, seed).withColumn("old", F.lit(1))
+                lists = checkpointed(keep_best(lists.withColumn("old", F.lit(0)).unionByName(more), threshold))
+    found = lists.filter(F.col("sim") >= threshold).select("u", "v")  # both directions are kept at the threshold
+    if verdict is None:
+        verdict = checkpointed(audit(reps, found, threshold, wanted))
+    rest = reps.join(verdict.filter("passed").select("space"), "space", "left_anti").select("vec", "space", "v")
+    kept = found.join(rest.select(F.col("vec").alias("u")), "u", "left_anti").select("u", "v")
+    return kept.unionByName(true_links(rest, rest, threshold))
 
 
 def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:

@@ -264,6 +264,30 @@ def test_embeddings(spark):
     assert N.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embeddings_isolated_pairs(spark, monkeypatch):
+    """Rounds run out in a search too weak for isolated pairs, beside a group that has nearly all links; another label has no links."""
+    monkeypatch.setattr(N, "ORDERS", 1)
+    monkeypatch.setattr(N, "NEXT", 1)
+    monkeypatch.setattr(N, "MAX_ROUNDS", 1)
+    monkeypatch.setattr(N, "SIDE", 300, raising=False)
+    rng = np.random.default_rng(8)
+    vectors = []
+    for _ in range(150):
+        v = rng.standard_normal(64)
+        vectors += [(v, 0), (v + 0.15 * rng.standard_normal(64), 0)]
+    centre = rng.standard_normal(64)
+    vectors += [(centre + 0.05 * rng.standard_normal(64), 0) for _ in range(200)] + [(rng.standard_normal(64), 0) for _ in range(400)]
+    vectors += [(rng.standard_normal(64), 1) for _ in range(50)]
+    m = np.array([v for v, _ in vectors], "<f4")
+    unit = m.astype(float) / np.linalg.norm(m.astype(float), axis=1)[:, None]
+    label = np.array([x for _, x in vectors])
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :]) & ~np.eye(len(m), dtype=bool)
+    assert 100 < (near.sum(axis=1) == 1).sum() < 400
+    rows = [(i, [float(x) for x in v], int(x)) for i, (v, x) in enumerate(zip(m, label))]
+    got = {r["vec_id"]: r["n_links"] for r in N.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == dict(enumerate(near.sum(axis=1).tolist()))
+
+
 # Archives
 
 
