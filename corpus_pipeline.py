@@ -35,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group. Rows without an id stay, as do all rows of an id that stays."""
-    gone = minhash_dedup(docs).filter("doc_id is not null and not kept").select("doc_id").distinct()
+    gone = minhash_dedup(docs, percent=80).filter("doc_id is not null and not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -87,3 +87,16 @@ def test_pipeline(spark, folder):
     packed = P.run(spark, path).collect()
     assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == sorted(want)
     assert len({r["sequence_id"] for r in packed}) == len(plain_best_fit([n for *_, n, _ in want], 1024))
+
+
+def test_near_duplicates_from_80_percent(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(404)]
+    copy = list(base)
+    for k in range(10, 330, 40):
+        copy[k] = "changed" + str(k)
+    rows = [(1, " ".join(base)), (2, " ".join(copy))]
+    a, b = (shingles(t) for _, t in rows)
+    assert 80 <= 100 * len(a & b) / len(a | b) < 85
+    got = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert [r["doc_id"] for r in got] == [1]
