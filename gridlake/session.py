@@ -12,6 +12,21 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the session names none, a temporary folder will do if there is but one machine; elsewhere that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gridlake-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of ``spark``, once per application.
 
