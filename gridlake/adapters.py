@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .functions import coerce as C
 
@@ -39,21 +42,42 @@ def cell_of(col: Column, spark_type: str) -> Column:
     return F.when(col.isNull(), empty_cell()).otherwise(cell)
 
 
-def numbered(df: DataFrame, *keys: str) -> DataFrame:
+#: Rows of a range that ``numbered`` sorts in one task, about, and rows sampled for each range.
+RANGE_ROWS, SAMPLED = 250_000, 64
+
+
+def _bounds(df: DataFrame, keys: Sequence[str], n: int, ranges: int) -> list[Row]:
+    """Keys that cut ``df`` into ``ranges`` parts of about equal size, by a sample whose size depends on their number alone."""
+    some = df.select(*keys).sample(min(1.0, SAMPLED * ranges / n), seed=1).orderBy(*keys).collect()
+    return [some[len(some) * k // ranges] for k in range(1, ranges)] if some else []
+
+
+def numbered(df: DataFrame, *keys: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with ``_row`` from 0 in the order of ``keys``, which should be unique.
 
-    Rows are dealt by ranges and numbered in each; only a count a partition reaches the driver, so no task sees all rows.
+    The driver settles bounds of ranges once, from a sample of keys, and counts each range's rows. From then on a row's range and number follow from its keys
+    alone, so a job, a retried task or a second evaluation cannot number it otherwise. Ranges are sorted by a task each.
     """
-    n = max(1, df.rdd.getNumPartitions())
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    part, inner = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND((1 << 33) - 1)
-    counts = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for p in range(max(counts, default=0) + 1):
-        before.append(total)
-        total += counts.get(p, 0)
-    offset = F.get(F.array(*(F.lit(x).cast("bigint") for x in before)), part)
-    return ranged.withColumn("_row", offset + inner).drop("_at")
+    n = df.count()
+    bounds = _bounds(df, keys, n, -(-n // range_rows)) if n > range_rows else []
+    order = W.partitionBy("_range").orderBy(*keys)
+    if not bounds:
+        ranged, before = df.withColumn("_range", F.lit(0)), [0]
+    else:
+        kinds = dict(df.dtypes)
+        mine = F.struct(*(F.col(k) for k in keys))
+        literal = lambda b: F.struct(*(F.lit(b[k]).cast(kinds[k]).alias(k) for k in keys))
+        # Two levels, so that a row meets about twice the root of the number of bounds.
+        step = max(1, math.isqrt(len(bounds)))
+        groups = F.array(*(F.array(*map(literal, bounds[i : i + step])) for i in range(0, len(bounds), step)))
+        least = F.array(*(literal(b) for b in bounds[::step]))
+        group = F.size(F.filter(least, lambda b: b <= mine)) - 1
+        inner = F.size(F.filter(F.get(groups, group), lambda b: b <= mine))
+        ranged = df.withColumn("_range", F.when(group < 0, 0).otherwise(group * step + inner))
+        counts = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+        before = list(itertools.accumulate((counts.get(k, 0) for k in range(len(bounds))), initial=0))
+    start = F.get(F.array(*(F.lit(x).cast("bigint") for x in before)), F.col("_range"))
+    return ranged.withColumn("_row", start + F.row_number().over(order) - 1).drop("_range")
 
 
 def grid_of(df: DataFrame, row: Column, cells: Sequence[Column] | None = None, header: Sequence[str] | None = None) -> DataFrame:

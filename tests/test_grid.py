@@ -3,7 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from gridlake.adapters import grid_from_table, numbered
 from gridlake.errors import InvalidParametersError, UnsupportedColumnTypeCombinationError, WorkbookCellError
 from gridlake.functions import coerce as C
 from gridlake.operators.infer import BITS, BROKEN, lattice
@@ -198,3 +200,20 @@ def test_precedence_of_dtypes(spark):
 def test_options_rejected(spark, bad):
     with pytest.raises(InvalidParametersError):
         load(spark, NO_HEADER, **bad)
+
+
+def test_numbered_on_many_partitions(spark):
+    """Row numbers follow the keys on any number of partitions, whatever job asks for them."""
+    n = 400_000
+    keys = F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 977)
+    df = spark.range(0, n, 1, 8).select(keys.alias("a"), F.concat(F.lit("é"), (F.col("id") * 7919 % n).cast("string")).alias("b")).repartition(8)
+    want = {(r["a"], r["b"]): i for i, r in enumerate(df.orderBy("a", "b").toLocalIterator())}
+    for _ in range(2):
+        got = numbered(df, "a", "b", range_rows=30_000)
+        pairs = got.select("a", "b", "_row").toPandas()
+        assert len(pairs) == n
+        assert all(want[None if a != a else int(a), b] == r for a, b, r in zip(pairs["a"], pairs["b"], pairs["_row"]))
+    loaded = LoadPlan.build(grid_from_table(df.select("b"), "b"), LoadOptions.for_sheet(n_rows=100_000)).dataframe()
+    first = sorted(b for _, b in want)[:100_000]
+    assert sorted(r["b"] for r in loaded.collect()) == first
+    assert numbered(df.filter("false"), "a").count() == 0
