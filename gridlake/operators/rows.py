@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParametersError
 from ..functions.coerce import is_blank
-from ..plans.options import LoadOptions, SkipRows
+from ..plans.options import LoadOptions
+
+if TYPE_CHECKING:
+    from ..plans.plan import Grid
 
 
 @dataclass(frozen=True)
@@ -43,11 +49,17 @@ class Window:
     limit: int
     skipped: frozenset[int]
     header: int | None
+    #: A callable that tells which data rows to leave out, and how many it does; evaluated by tasks, never row by row on the driver.
+    skip: Callable[[int], bool] | None = None
+    n_skipped: int = 0
 
     @property
     def rows(self) -> int:
         return max(0, self.limit - self.offset)
 
+    def left_out(self, row: int) -> bool:
+        return self.skip(row - self.start - self.offset)
+
     def predicate(self) -> Column:
         inside = (F.col("_row") >= self.start + self.offset) & (F.col("_row") < self.start + self.limit)
         left_out = sorted(self.start + self.offset + i for i in self.skipped)
@@ -65,31 +77,37 @@ def range_start(options: LoadOptions, first_filled: int) -> int:
     return options.header_row or 0
 
 
-def last_filled(grid: DataFrame) -> int | None:
+def last_filled(rows: DataFrame) -> int | None:
     """The last row that holds more than white space."""
     some = F.exists("cells", lambda c: ~is_blank(c))
-    return grid.agg(F.max(F.when(some, F.col("_row")))).first()[0]
-
-
-def _evaluated(skip: SkipRows, rows: int) -> frozenset[int]:
-    if isinstance(skip, frozenset):
-        return frozenset(i for i in skip if i < rows)
-    if not callable(skip):
-        return frozenset()
-    out = set()
-    for i in range(rows):
-        try:
-            got = skip(i)
-        except Exception as e:
-            raise InvalidParametersError(f"skip_rows callable failed on row {i}: {e}") from e
-        if not isinstance(got, bool):
-            raise InvalidParametersError(f"skip_rows callable must return a bool, got {got!r}")
-        if got:
-            out.add(i)
-    return frozenset(out)
-
-
-def window(grid: DataFrame, found: Extent, options: LoadOptions) -> Window:
+    return rows.agg(F.max(F.when(some, F.col("_row")))).first()[0]
+
+
+def _count_skipped(spark: SparkSession, skip: Callable[[int], bool], rows: int) -> int:
+    """How many of ``rows`` a callable leaves out; an error if it raises, or returns anything but a bool."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, wrong = 0, None
+            for i in b.column("id").to_pylist():
+                try:
+                    got = skip(i)
+                except Exception as e:
+                    wrong = f"skip_rows callable failed on row {i}: {e}"
+                    break
+                if not isinstance(got, bool):
+                    wrong = f"skip_rows callable must return a bool, got {got!r}"
+                    break
+                n += got
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([wrong], pa.string())], ["n", "wrong"])
+
+    found = spark.range(rows).mapInArrow(run, "n bigint, wrong string").agg(F.sum("n").alias("n"), F.min("wrong").alias("wrong")).first()
+    if found["wrong"] is not None:
+        raise InvalidParametersError(found["wrong"])
+    return found["n"] or 0
+
+
+def window(grid: Grid, found: Extent, options: LoadOptions) -> Window:
     if found.empty:
         return Window(0, 0, 0, 0, frozenset(), None)
     start = range_start(options, found.first)
@@ -101,8 +119,13 @@ def window(grid: DataFrame, found: Extent, options: LoadOptions) -> Window:
     offset = (header is not None) + skip
     upper = height
     if options.skip_whitespace_tail_rows and height:
-        tail = last_filled(grid.filter(F.col("_row") >= start))
+        tail = last_filled(grid.part(start))
         upper = 1 if tail is None else tail - start + 1
     limit = upper if options.n_rows is None else min(offset + options.n_rows, upper)
     limit = max(limit, offset)
-    return Window(start, height, offset, limit, _evaluated(options.skip_rows, limit - offset), header)
+    listed = options.skip_rows if isinstance(options.skip_rows, frozenset) else frozenset()
+    listed = frozenset(i for i in listed if i < limit - offset)
+    if callable(options.skip_rows):
+        n = _count_skipped(grid.part().sparkSession, options.skip_rows, limit - offset)
+        return Window(start, height, offset, limit, listed, header, options.skip_rows, n)
+    return Window(start, height, offset, limit, listed, header, None, len(listed))

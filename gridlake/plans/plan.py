@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +16,6 @@ from ..operators.infer import lattice, masks
 from ..operators.rows import Extent, Window, extent, window
 from .options import ColumnInfo, ColumnInfoNoDtype, Dtype, DtypeFrom, LoadOptions
 
-#: Row numbers that a predicate lists; more go through an anti join.
-LISTED_ROWS = 1000
-
 
 def cell_text(cell) -> str | None:
     """A header cell as text; None if empty."""
@@ -37,9 +35,20 @@ def cell_text(cell) -> str | None:
     return cell["s"]
 
 
+class Grid:
+    """``_row, cells`` of a sheet, of which a part can be asked for: some rows, and the cells of some columns (others may come empty)."""
+
+    def __init__(self, whole: DataFrame):
+        self.whole = whole
+
+    def part(self, start: int = 0, end: int | None = None, columns: Sequence[int] | None = None) -> DataFrame:
+        row = F.col("_row")
+        return self.whole.filter(row >= start if end is None else (row >= start) & (row < end))
+
+
 @dataclass(frozen=True)
 class LoadPlan:
-    grid: DataFrame
+    grid: Grid
     options: LoadOptions
     found: Extent
     rows: Window
@@ -47,10 +56,11 @@ class LoadPlan:
     selected: list[ColumnInfo]
 
     @classmethod
-    def build(cls, grid: DataFrame, options: LoadOptions, start_col: int = 0, table_columns: Sequence[str] | None = None, found: Extent | None = None) -> LoadPlan:
+    def build(cls, grid: DataFrame | Grid, options: LoadOptions, start_col: int = 0, table_columns: Sequence[str] | None = None, found: Extent | None = None) -> LoadPlan:
         """``grid`` has ``_row, cells``; ``start_col`` is the sheet's column of the first cell. A table brings its own names and starts at row 0."""
         check_selection(options.use_columns)
-        found = found or extent(grid)
+        grid = grid if isinstance(grid, Grid) else Grid(grid)
+        found = found or extent(grid.part())
         own = options
         if table_columns is not None:
             found = Extent(0, found.last if found.last is not None else -1, len(table_columns)) if not found.empty else Extent(None, None, len(table_columns))
@@ -63,7 +73,7 @@ class LoadPlan:
             rows = window(grid, found, own)
             header = None
             if rows.header is not None:
-                line = grid.filter(F.col("_row") == rows.header).select("cells").first()
+                line = grid.part(rows.header, rows.header + 1).filter(F.col("_row") == rows.header).select("cells").first()
                 header = [cell_text(c) for c in line["cells"]] if line is not None else []
             names = name_columns(found.width, start_col, header, options.column_names, options.use_columns)
         typed = _typed(grid, rows, options, select_columns(names, options.use_columns))
@@ -75,11 +85,15 @@ class LoadPlan:
 
     def _inside(self) -> DataFrame:
         r = self.rows
-        if len(r.skipped) <= LISTED_ROWS:
-            return self.grid.filter(r.predicate())
-        whole = replace(r, skipped=frozenset())
-        gone = self.grid.sparkSession.createDataFrame([(r.start + r.offset + i,) for i in sorted(r.skipped)], "_row bigint")
-        return self.grid.filter(whole.predicate()).join(gone, "_row", "left_anti")
+        inside = self.grid.part(r.start + r.offset, r.start + r.limit, [c.index for c in self.selected]).filter(r.predicate())
+        if r.skip is None:
+            return inside
+
+        def skipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not r.left_out(i) for i in b.column("_row").to_pylist()], pa.bool_()))
+
+        return inside.mapInArrow(skipped, inside.schema)
 
     def dataframe(self, keep_row: bool = False) -> DataFrame:
         """The selected columns, typed; rows in no order, so ``keep_row`` adds ``_row`` to sort by."""
@@ -103,14 +117,14 @@ class LoadPlan:
             detail = F.concat(F.lit(f"Expected {c.dtype} but got '"), C.shown(cell), F.lit(end))
             found.append(F.when(held & value.isNull(), F.struct(F.lit(c.index).alias("col"), detail.alias("detail"))))
         if not found:
-            return self.grid.sparkSession.createDataFrame([], "row bigint, col int, row_offset bigint, detail string")
+            return self._inside().sparkSession.createDataFrame([], "row bigint, col int, row_offset bigint, detail string")
         bad = self._inside().select("_row", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("e"))
         return bad.select(
             (F.col("_row") - self.rows.start).alias("row"), F.col("e.col").alias("col"), F.lit(self.rows.offset).cast("bigint").alias("row_offset"), F.col("e.detail").alias("detail")
         )
 
 
-def _typed(grid: DataFrame, rows: Window, options: LoadOptions, columns: list[ColumnInfoNoDtype]) -> list[ColumnInfo]:
+def _typed(grid: Grid, rows: Window, options: LoadOptions, columns: list[ColumnInfoNoDtype]) -> list[ColumnInfo]:
     given: dict[int, tuple[Dtype, DtypeFrom]] = {}
     d = options.dtypes
     for c in columns:
@@ -123,7 +137,8 @@ def _typed(grid: DataFrame, rows: Window, options: LoadOptions, columns: list[Co
     guess = [c for c in columns if c.index not in given]
     if guess:
         # Skipped rows inside the sample still vote: the sample is contiguous.
-        sample = grid.filter(rows.sample(options.schema_sample_rows))
+        end = rows.start + (rows.limit if options.schema_sample_rows is None else min(rows.limit, rows.offset + options.schema_sample_rows))
+        sample = grid.part(rows.start + rows.offset, end, [c.index for c in guess]).filter(rows.sample(options.schema_sample_rows))
         n, found = masks(sample, [c.index for c in guess], options.whitespace_as_null)
         for c, mask in zip(guess, found):
             given[c.index] = (lattice(mask, n, options.coercion, c.index), DtypeFrom.GUESSED)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 from functools import cached_property
 from pathlib import Path
 from typing import Any
@@ -11,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import ArrowError, InvalidParametersError, SheetNotFoundError
+from .errors import ArrowError, InvalidParametersError, SheetNotFoundError, WorkbookError
 from .operators.rows import Extent
 from .plans.options import ColumnInfo, Dtype, LoadOptions, parse_idx_or_name
-from .plans.plan import LoadPlan
-from .sources.formats import DefinedName, SheetMeta, TableMeta, open_workbook, used_columns
+from .plans.plan import Grid, LoadPlan
+from .sources.formats import DefinedName, Metadata, SheetMeta, TableMeta, Used, Workbook, open_workbook, used_range
 from .sources.scan import binary, scan_sheet
 
 ARROW_TYPES = {
@@ -59,7 +61,7 @@ class _Loaded:
     kind = ""
 
     def __init__(self, plan: LoadPlan, name: str):
-        self._plan, self.name = plan, name
+        self._plan, self.name, self._kept = plan, name, None
 
     @property
     def width(self) -> int:
@@ -77,7 +79,7 @@ class _Loaded:
     @property
     def height(self) -> int:
         """Number of rows that loading gives."""
-        return self._plan.rows.rows - len(self._plan.rows.skipped)
+        return self._plan.rows.rows - self._plan.rows.n_skipped
 
     @property
     def total_height(self) -> int:
@@ -100,16 +102,35 @@ class _Loaded:
         d = self._plan.options.dtypes
         return {k: v.value for k, v in d.items()} if isinstance(d, dict) else d.value if d else None
 
+    def keep(self):
+        """Load the typed rows into Spark's cache now."""
+        self._kept = self._plan.dataframe(keep_row=True).persist()
+        self._kept.count()
+        return self
+
+    def release(self) -> None:
+        """Let go of what ``keep`` holds."""
+        if self._kept is not None:
+            self._kept.unpersist()
+            self._kept = None
+
     def to_spark(self, keep_row: bool = False) -> DataFrame:
         """A lazy DataFrame; its rows have no order unless sorted by ``_row`` (``keep_row``)."""
-        return self._plan.dataframe(keep_row)
+        if self._kept is None:
+            return self._plan.dataframe(keep_row)
+        return self._kept if keep_row else self._kept.drop("_row")
+
+    def to_columns(self) -> dict[str, pa.Array]:
+        """Each column as one Arrow array of its dtype, on the driver."""
+        table = self.to_arrow()
+        return {name: table.column(name).combine_chunks() for name in table.column_names}
 
     def to_arrow(self) -> pa.Table:
         """All rows in order, on the driver; types as the column dtypes say, all nullable."""
         schema = pa.schema([pa.field(c.name, ARROW_TYPES[Dtype(c.dtype)]) for c in self.selected_columns])
         if not self.selected_columns:
             return schema.empty_table()
-        df = self._plan.dataframe(keep_row=True)
+        df = self.to_spark(keep_row=True)
         nulls = {c.name for c in self.selected_columns if c.dtype == Dtype.NULL.value}
         try:
             got = df.select("_row", *(df[f"`{c.name}`"] for c in self.selected_columns if c.name not in nulls)).orderBy("_row").toArrow()
@@ -165,37 +186,65 @@ class Table(_Loaded):
         return f"Table<{self.name}>"
 
 
+class SheetGrid(Grid):
+    """A sheet of which parts are parsed as they are asked for: nothing is kept, and rows and columns bound what the parser builds."""
+
+    def __init__(self, files: DataFrame, sheet: str, col_start: int, width: int):
+        self.files, self.sheet, self.col_start, self.width = files, sheet, col_start, width
+
+    def part(self, start: int = 0, end: int | None = None, columns: Sequence[int] | None = None) -> DataFrame:
+        wanted = None if columns is None else frozenset(columns)
+        return scan_sheet(self.files, self.sheet, self.col_start, self.width, start, end, wanted)
+
+
 class WorkbookHandle:
-    """An open workbook: metadata on the driver, sheets as lazy scans."""
+    """An open workbook: metadata on the driver, sheets as lazy scans. The file itself is opened by tasks; only bytes in hand are opened here."""
 
     def __init__(self, spark: SparkSession, source: str | bytes):
         self.spark, self.source = spark, source
         self._files = binary(spark, source)
-        content = source if isinstance(source, bytes) else self._content(source)
-        self._book = open_workbook(content)
-
-    def _content(self, path: str) -> bytes:
-        rows = self._files.select("content").take(2)
+        self._book = open_workbook(source) if isinstance(source, bytes) else None
+        self._metadata: Metadata = self._ask(lambda book: book.metadata)
+        self._used: dict[str, Used] = {}
+
+    def _ask(self, question: Callable[[Workbook], Any]) -> Any:
+        """What ``question`` finds in the workbook."""
+        if self._book is not None:
+            return question(self._book)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for content in batch.column("content"):
+                    try:
+                        out = (question(open_workbook(content.as_py())), None)
+                    except WorkbookError as e:
+                        out = (None, e)
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(out)], pa.binary())], ["found"])
+
+        rows = self._files.select("content").mapInArrow(run, "found binary").take(2)
         if len(rows) != 1:
-            raise InvalidParametersError(f"{path} is not one workbook")
-        return bytes(rows[0]["content"])
+            raise InvalidParametersError(f"{self.source} is not one workbook")
+        found, error = pickle.loads(rows[0]["found"])
+        if error is not None:
+            raise error
+        return found
 
     @property
     def sheet_names(self) -> list[str]:
-        return [s.name for s in self._book.metadata.sheets]
+        return [s.name for s in self._metadata.sheets]
 
     def table_names(self, sheet_name: str | None = None) -> list[str]:
         return [t.name for t in self._tables if sheet_name in (None, t.sheet)]
 
     @cached_property
     def _tables(self) -> list[TableMeta]:
-        return self._book.tables()
+        return self._ask(lambda book: book.tables())
 
     def defined_names(self) -> list[DefinedName]:
-        return self._book.metadata.names
+        return self._metadata.names
 
     def sheets_dataframe(self) -> DataFrame:
-        rows = [(i, s.name, s.visible) for i, s in enumerate(self._book.metadata.sheets)]
+        rows = [(i, s.name, s.visible) for i, s in enumerate(self._metadata.sheets)]
         return self.spark.createDataFrame(rows, "sheet_idx int, name string, visible string")
 
     def tables_dataframe(self) -> DataFrame:
@@ -206,7 +255,7 @@ class WorkbookHandle:
         return self.spark.createDataFrame([(n.name, n.formula) for n in self.defined_names()], "name string, formula string")
 
     def _find(self, idx_or_name: int | str) -> SheetMeta:
-        sheets = self._book.metadata.sheets
+        sheets = self._metadata.sheets
         key = parse_idx_or_name(idx_or_name)
         if isinstance(key, int):
             if key < len(sheets):
@@ -218,25 +267,17 @@ class WorkbookHandle:
         known = ", ".join(f'"{s.name}"' for s in sheets)
         raise SheetNotFoundError(f'sheet with name "{key}" not found').with_context(f'Sheet "{key}" not found in file. Available sheets: {known}.')
 
-    @cached_property
-    def _used(self) -> dict[str, tuple[int, int, int]]:
-        return {}
-
-    def _grid(self, sheet: str) -> tuple[DataFrame, int]:
-        if sheet not in self._used:
-            self._used[sheet] = used_columns(self._book.rows(sheet))
-        start, width, _ = self._used[sheet]
-        # Parsed once: the plan's small jobs and the load itself read the stored grid.
-        return scan_sheet(self._files, sheet, start, width).persist(), start
-
     def load_sheet(self, idx_or_name: int | str, *, eager: bool = False, **options: Any) -> Sheet:
+        """A sheet, lazily; ``eager`` keeps its typed rows in Spark's cache until ``release`` is called."""
         meta = self._find(idx_or_name)
         plan_options = LoadOptions.for_sheet(**options)
-        grid, start = self._grid(meta.name)
-        sheet = Sheet(LoadPlan.build(grid, plan_options, start), meta)
-        if eager:
-            grid.count()
-        return sheet
+        name = meta.name
+        if name not in self._used:
+            self._used[name] = self._ask(lambda book: used_range(book, name))
+        used = self._used[name]
+        found = Extent(used.first, used.last, used.width)
+        sheet = Sheet(LoadPlan.build(SheetGrid(self._files, name, used.col_start, used.width), plan_options, used.col_start, found=found), meta)
+        return sheet.keep() if eager else sheet
 
     def load_sheet_eager(self, idx_or_name: int | str, **options: Any) -> pa.Table:
         return self.load_sheet(idx_or_name, **options).to_arrow()
@@ -258,12 +299,10 @@ class WorkbookHandle:
         # Rows without a cell at the table's end are rows of the table too.
         blank = F.transform(F.sequence(F.lit(1), F.lit(len(meta.columns))), lambda _: F.struct(F.lit(0).cast("tinyint").alias("k"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("bigint").alias("i")))
         every = self.spark.range(meta.n_rows).select(F.col("id").alias("_row"))
-        grid = every.join(here, "_row", "left").select("_row", F.coalesce("cells", blank).alias("cells")).persist()
+        grid = every.join(here, "_row", "left").select("_row", F.coalesce("cells", blank).alias("cells"))
         found = Extent(0 if meta.n_rows else None, meta.n_rows - 1 if meta.n_rows else None, len(meta.columns))
         table = Table(LoadPlan.build(grid, plan_options, meta.first_col, meta.columns, found), meta)
-        if eager:
-            grid.count()
-        return table
+        return table.keep() if eager else table
 
     def __repr__(self) -> str:
         shown = "bytes" if isinstance(self.source, bytes) else self.source

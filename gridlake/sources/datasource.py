@@ -1,4 +1,4 @@
-"""``spark.read.format("workbook")`` and its streaming form."""
+"""``spark.read.format("workbook")``."""
 
 from __future__ import annotations
 
@@ -6,15 +6,12 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..functions.coerce import CELL
 from ..session import ship_package
 from .formats import open_workbook
-from .scan import grid_batches
-
-SCHEMA = f"path string, sheet string, _row bigint, cells array<{CELL}>"
+from .scan import SHEETS, sheet_batches
 
 
 def _read(uri: str) -> bytes:
@@ -41,82 +38,42 @@ def _files(uri: str) -> list[str]:
     return sorted(scheme + p for p in found if not p.rpartition("/")[2].startswith((".", "_", "~")))
 
 
-class SheetPartition(InputPartition):
-    def __init__(self, path: str, sheet: str):
-        self.path, self.sheet = path, sheet
-
-
-def _rows(path: str, sheet: str, options: dict) -> Iterator:
-    import pyarrow as pa
-
-    book = open_workbook(_read(path))
-    start = int(options.get("col_start", 0))
-    width = options.get("width")
-    width = int(width) if width else max((max(c) for _, c in book.rows(sheet)), default=-1) + 1 - start
-    end = options.get("row_end")
-    for out in grid_batches(book, sheet, start, max(0, width), int(options.get("row_start", 0)), int(end) if end else None):
-        n = out.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([sheet] * n, pa.string()), *out.columns], ["path", "sheet", "_row", "cells"])
+class FilePartition(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
 
 
 class WorkbookReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
-
-    def partitions(self) -> list[SheetPartition]:
-        wanted = self.options.get("sheet")
-        out = []
-        for path in _files(self.options["path"]):
-            names = [wanted] if wanted else [s.name for s in open_workbook(_read(path)).metadata.sheets]
-            out += [SheetPartition(path, n) for n in names]
-        return out or [SheetPartition("", "")]
-
-    def read(self, partition: SheetPartition) -> Iterator:
-        if partition.path:
-            yield from _rows(partition.path, partition.sheet, self.options)
-
-
-class WorkbookStream(SimpleDataSourceStreamReader):
-    """New files of a folder; a file's name is its offset, so files must arrive in the order of their names."""
+    """A task a file: the driver lists names and opens nothing."""
 
     def __init__(self, options: dict):
         self.options = options
 
-    def initialOffset(self) -> dict:
-        return {"after": ""}
+    def partitions(self) -> list[FilePartition]:
+        return [FilePartition(p) for p in _files(self.options["path"])] or [FilePartition("")]
 
-    def _tuples(self, paths: list[str]) -> Iterator[tuple]:
-        for path in paths:
-            wanted = self.options.get("sheet")
-            for sheet in [wanted] if wanted else [s.name for s in open_workbook(_read(path)).metadata.sheets]:
-                for batch in _rows(path, sheet, self.options):
-                    for r in batch.to_pylist():
-                        yield (r["path"], r["sheet"], r["_row"], [(c["k"], c["s"], c["d"], c["i"]) for c in r["cells"]])
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        new = [p for p in _files(self.options["path"]) if p > start["after"]]
-        return iter(list(self._tuples(new))), {"after": new[-1] if new else start["after"]}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._tuples([p for p in _files(self.options["path"]) if start["after"] < p <= end["after"]])
+    def read(self, partition: FilePartition) -> Iterator:
+        if not partition.path:
+            return
+        book = open_workbook(_read(partition.path))
+        number = lambda name: int(self.options[name]) if self.options.get(name) else None
+        for sheet in [s.name for s in book.metadata.sheets if self.options.get("sheet") in (None, s.name)]:
+            yield from sheet_batches(partition.path, book, sheet, number("col_start") or 0, number("width"), number("row_start") or 0, number("row_end"))
 
 
 class WorkbookSource(DataSource):
-    """Options: ``path`` (a file or a folder), ``sheet`` (all if not given), ``col_start``, ``width``, ``row_start``, ``row_end``."""
+    """Options: ``path`` (a file or a folder), ``sheet`` (all if not given), ``col_start``, ``width``, ``row_start``, ``row_end``. Streams: ``stream_folder``."""
 
     @classmethod
     def name(cls) -> str:
         return "workbook"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SHEETS
 
     def reader(self, schema: StructType) -> WorkbookReader:
         return WorkbookReader(dict(self.options))
 
-    def simpleStreamReader(self, schema: StructType) -> WorkbookStream:
-        return WorkbookStream(dict(self.options))
-
 
 def register(spark: SparkSession) -> None:
     ship_package(spark)

@@ -7,7 +7,7 @@ import struct
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 from ..errors import InternalError, WorkbookFormatError
 from ..functions import coerce as C
@@ -61,6 +61,8 @@ class Metadata:
 
 
 class Workbook(Protocol):
+    """A parser; ``used`` and ``batches``, where it has them, do in bulk what ``used_range`` and ``grid_batches`` do by rows."""
+
     metadata: Metadata
 
     def rows(self, sheet: str) -> Iterator[tuple[int, dict[int, Cell]]]:
@@ -91,11 +93,23 @@ def open_workbook(content: bytes) -> Workbook:
     raise WorkbookFormatError("cannot open workbook: not a known format")
 
 
-def used_columns(rows: Iterator[tuple[int, dict[int, Cell]]]) -> tuple[int, int, int]:
-    """First column, width and number of rows up to the last used one."""
-    low, high, last = None, -1, -1
-    for r, cells in rows:
+class Used(NamedTuple):
+    """The range of a sheet's cells that hold something."""
+
+    col_start: int
+    width: int
+    first: int | None
+    last: int | None
+
+
+def used_range(book: Workbook, sheet: str) -> Used:
+    """By the parser's own quick way, or from all rows."""
+    if hasattr(book, "used"):
+        return book.used(sheet)
+    low, high, first, last = None, -1, None, None
+    for r, cells in book.rows(sheet):
         if cells:
             low = min(cells) if low is None else min(low, min(cells))
             high, last = max(high, max(cells)), r
-    return (low or 0), (high - (low or 0) + 1 if low is not None else 0), last + 1
+            first = r if first is None else first
+    return Used(low or 0, high - low + 1 if low is not None else 0, first, last)

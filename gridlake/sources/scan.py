@@ -1,7 +1,7 @@
-"""Workbooks as Spark scans: one task parses one (file, sheet) and streams its rows as Arrow batches.
+"""Workbooks as Spark scans: one task parses the sheets of a file, or one of them, and streams its rows as Arrow batches.
 
 Files are read by Spark's ``binaryFile`` source, so any store that Spark reads will do, and workbooks in hand (bytes) take the same way. A sheet's XML cannot be
-split, so parallelism comes from files and sheets; ``row_end`` stops the parser early, and columns outside ``col_start`` and ``col_end`` are not built.
+split, so parallelism comes from files; no file is shuffled. ``row_end`` stops the parser early, and only the columns asked for are built.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import CELL
 from ..session import ship_package
-from .formats import Cell, Workbook, open_workbook
+from .formats import Cell, Workbook, open_workbook, used_range
 
 FLUSH_CELLS = 200_000
 CELL_ARROW = pa.struct([("k", pa.int8()), ("s", pa.string()), ("d", pa.float64()), ("i", pa.int64())])
@@ -29,8 +29,13 @@ def _batch(rows: list[int], cells: list[Cell], width: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["_row", "cells"])
 
 
-def grid_batches(book: Workbook, sheet: str, col_start: int, width: int, row_start: int = 0, row_end: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Dense rows of a part of a sheet; rows without cells between others come as empty ones."""
+def grid_batches(
+    book: Workbook, sheet: str, col_start: int, width: int, row_start: int = 0, row_end: int | None = None, columns: frozenset[int] | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Dense rows of a part of a sheet; rows without cells between others come as empty ones, and so do cells outside ``columns`` (counted from ``col_start``)."""
+    if hasattr(book, "batches"):
+        yield from book.batches(sheet, col_start, width, row_start, row_end, columns)
+        return
     rows: list[int] = []
     cells: list[Cell] = []
     blank = [EMPTY] * width
@@ -46,7 +51,7 @@ def grid_batches(book: Workbook, sheet: str, col_start: int, width: int, row_sta
         following = r + 1
         line = blank.copy()
         for c, cell in found.items():
-            if 0 <= c - col_start < width:
+            if 0 <= c - col_start < width and (columns is None or c - col_start in columns):
                 line[c - col_start] = cell
         rows.append(r)
         cells += line
@@ -65,45 +70,46 @@ def binary(spark: SparkSession, source: str | list[str] | bytes) -> DataFrame:
     return spark.read.format("binaryFile").load(source).select("path", "content")
 
 
-def scan_sheet(files: DataFrame, sheet: str, col_start: int, width: int, row_start: int = 0, row_end: int | None = None) -> DataFrame:
+def scan_sheet(
+    files: DataFrame, sheet: str, col_start: int, width: int, row_start: int = 0, row_end: int | None = None, columns: frozenset[int] | None = None
+) -> DataFrame:
     """The grid of one sheet of one workbook."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                yield from grid_batches(open_workbook(content.as_py()), sheet, col_start, width, row_start, row_end)
+                yield from grid_batches(open_workbook(content.as_py()), sheet, col_start, width, row_start, row_end, columns)
 
     return files.select("content").mapInArrow(run, f"_row bigint, cells array<{CELL}>")
 
 
-def scan_all(files: DataFrame, col_start: int = 0, width: int | None = None) -> DataFrame:
-    """``path, sheet, _row, cells`` of all sheets of all workbooks, a (file, sheet) at a time.
+def sheet_batches(path: str, book: Workbook, sheet: str, col_start: int = 0, width: int | None = None, row_start: int = 0, row_end: int | None = None) -> Iterator[pa.RecordBatch]:
+    """``path, sheet, _row, cells`` of one sheet, up to its last used column if no width is given."""
+    if width is None:
+        used = used_range(book, sheet)
+        width = max(0, used.col_start + used.width - col_start)
+    for out in grid_batches(book, sheet, col_start, width, row_start, row_end):
+        n = out.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([sheet] * n, pa.string()), *out.columns], ["path", "sheet", "_row", "cells"])
 
-    The list of sheets is itself a distributed scan; the files are then dealt so that each (file, sheet) is a task's work. Rows have
-    cells from column ``col_start`` on, up to the sheet's last used one.
-    """
 
-    def sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                names = [s.name for s in open_workbook(content.as_py()).metadata.sheets]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(names)), pa.array(names, pa.string())], ["path", "sheet"])
+SHEETS = f"path string, sheet string, _row bigint, cells array<{CELL}>"
+
+
+def scan_all(files: DataFrame, col_start: int = 0, width: int | None = None, sheet: str | None = None) -> DataFrame:
+    """``path, sheet, _row, cells`` of all sheets (or those called ``sheet``) of all workbooks; works on streams of files too.
+
+    Rows have cells from column ``col_start`` on, up to the sheet's last used one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, sheet, content in zip(*(batch.column(c) for c in ("path", "sheet", "content"))):
-                book, name = open_workbook(content.as_py()), sheet.as_py()
-                wide = width
-                if wide is None:
-                    wide = max((max(cells) for _, cells in book.rows(name)), default=-1) + 1 - col_start
-                for out in grid_batches(book, name, col_start, max(0, wide)):
-                    n = out.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * n, pa.string()), pa.array([name] * n, pa.string()), *out.columns], ["path", "sheet", "_row", "cells"])
-
-    listed = files.mapInArrow(sheets, "path string, sheet string").persist()
-    # The number is stated, as adaptive execution would merge small files into few tasks.
-    dealt = listed.join(files, "path").repartition(max(1, listed.count()), "path", "sheet")
-    return dealt.mapInArrow(run, f"path string, sheet string, _row bigint, cells array<{CELL}>")
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                book = open_workbook(content.as_py())
+                for name in [s.name for s in book.metadata.sheets if sheet in (None, s.name)]:
+                    yield from sheet_batches(path.as_py(), book, name, col_start, width)
+
+    return files.select("path", "content").mapInArrow(run, SHEETS)
 
 
 def scan_metadata(files: DataFrame) -> DataFrame:

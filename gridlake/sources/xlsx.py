@@ -6,12 +6,16 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
+from typing import BinaryIO
 from xml.etree import ElementTree as ET
 
+import pyarrow as pa
+
 from ..functions import coerce as C
-from .formats import Cell, DefinedName, Metadata, SheetMeta, TableMeta, number_cell, text_cell
+from . import xlsx_fast
+from .formats import Cell, DefinedName, Metadata, SheetMeta, TableMeta, Used, number_cell, text_cell
 
 #: Built-in number formats that show a date or a time, and those that show elapsed time.
 DATES = {*range(14, 23), *range(27, 37), 45, 47, *range(50, 59)}
@@ -154,31 +158,61 @@ class Xlsx:
             return (C.ISO, value, None, None)
         raise ValueError(f"unknown cell type {kind!r}")
 
+    def _rows(self, stream: BinaryIO, before: int = -1) -> Iterator[tuple[int, dict[int, Cell]]]:
+        at = before
+        data = None
+        for event, e in ET.iterparse(stream, events=("start", "end")):
+            tag = local(e.tag)
+            if event == "start":
+                if tag == "sheetData":
+                    data = e
+                continue
+            if tag == "row":
+                at = int(e.get("r")) - 1 if e.get("r") else at + 1
+                cells: dict[int, Cell] = {}
+                col = -1
+                for x in e:
+                    col = reference(x.get("r"))[1] if x.get("r") else col + 1
+                    if (cell := self._cell(x)) is not None:
+                        cells[col] = cell
+                if cells:
+                    yield at, cells
+                e.clear()
+                if data is not None:
+                    data.clear()
+            elif tag == "sheetData":
+                return
+
     def rows(self, sheet: str) -> Iterator[tuple[int, dict[int, Cell]]]:
-        at = -1
         with self.zip.open(self.paths[sheet]) as f:
-            data = None
-            for event, e in ET.iterparse(f, events=("start", "end")):
-                tag = local(e.tag)
-                if event == "start":
-                    if tag == "sheetData":
-                        data = e
-                    continue
-                if tag == "row":
-                    at = int(e.get("r")) - 1 if e.get("r") else at + 1
-                    cells: dict[int, Cell] = {}
-                    col = -1
-                    for x in e:
-                        col = reference(x.get("r"))[1] if x.get("r") else col + 1
-                        if (cell := self._cell(x)) is not None:
-                            cells[col] = cell
-                    if cells:
-                        yield at, cells
-                    e.clear()
-                    if data is not None:
-                        data.clear()
-                elif tag == "sheetData":
-                    return
+            yield from self._rows(f)
+
+    def _pieces_parser(self) -> Callable[[bytes], Iterator[tuple[int, dict[int, Cell]]]]:
+        """Parses pieces of one sheet in their order: rows without a number follow the row before."""
+        last = -1
+
+        def parse(piece: bytes) -> Iterator[tuple[int, dict[int, Cell]]]:
+            nonlocal last
+            prefixes = set(re.findall(rb"[ <]([A-Za-z][A-Za-z0-9]*):", piece)) - {b"xml"}
+            names = b"".join(b' xmlns:%s="%s"' % (x, x) for x in sorted(prefixes))
+            whole = piece if b":sheetData" in piece else b"<sheetData" + names + b">" + piece + b"</sheetData>"
+            for last, cells in self._rows(io.BytesIO(whole), last):
+                yield last, cells
+
+        return parse
+
+    def used(self, sheet: str) -> Used:
+        with self.zip.open(self.paths[sheet]) as f:
+            return Used(*xlsx_fast.used(f, self._pieces_parser()))
+
+    @cached_property
+    def _shared_array(self) -> pa.Array:
+        return pa.array(self.shared, pa.string())
+
+    def batches(self, sheet: str, col_start: int, width: int, row_start: int = 0, row_end: int | None = None, columns: frozenset[int] | None = None) -> Iterator[pa.RecordBatch]:
+        reader = xlsx_fast.Sheet(lambda: self._shared_array, self.styles, self.epoch, self._pieces_parser())
+        with self.zip.open(self.paths[sheet]) as f:
+            yield from reader.batches(f, col_start, width, row_start, row_end, columns)
 
     def tables(self) -> list[TableMeta]:
         out = []

@@ -10,11 +10,12 @@ import pytest
 
 from gridlake.errors import InternalError, InvalidParametersError, SheetNotFoundError, WorkbookFormatError
 from gridlake.reader import read_workbook
+from gridlake.sources import xlsx_fast
 from gridlake.sources.datasource import register
 from gridlake.sources.formats import open_workbook
 from gridlake.sources.scan import binary, scan_all
 from gridlake.sources.xls import rk_number
-from gridlake.sources.xlsx import format_kind
+from gridlake.sources.xlsx import Xlsx, format_kind
 from gridlake.sources.xlsx_writer import ErrorCell, Serial, SheetSpec, write_xlsx
 from gridlake.streaming.folder import stream_folder
 
@@ -120,6 +121,59 @@ def test_path_and_sources(spark, content, tmp_path):
     assert spark.read.format("workbook").option("row_end", 2).load(str(tmp_path / "one.xlsx")).filter("sheet = 'January'").count() == 2
 
 
+SHEET_XML = b"""<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:x14ac="u"><dimension ref="A1"/><sheetData>
+<row r="2" spans="1:4" x14ac:dyDescent="0.25"><c r="B2" t="s"><v>0</v></c><c r="C2" s="1"><v>44622.5</v></c><c r="D2" s="3"/></row>%s</sheetData></worksheet>"""
+ODD_ROWS = [
+    b'<row r="3"><c r="B3"><f>1+1</f><v>2</v></c><c r="C3" t="str"><f>"a"</f><v>a &amp; b</v></c></row>',
+    b'<row r="4"><c r="B4" t="b"><v>1</v></c><c r="C4" t="e"><v>#N/A</v></c><c r="D4" t="inlineStr"><is><t>x &lt;y&gt;</t></is></c></row>',
+    b'<row r="5"><c s="1" r="B5"><v>1</v></c><c r="C5" t="str"><v></v></c></row>',
+    b'<row r="7"><c r="AA7" t="inlineStr"><is><r><t>ri</t></r><r><t>ch</t></r></is></c><c r="AB7" t="d"><v>2024-01-02</v></c></row>',
+    b'<row r="8" x14ac:dyDescent="0.2"><c r="B8"><v> 7 </v></c><c r="C8" t="str"><v>_x0041_&#233;</v></c></row>',
+    b'<row><c><v>5</v></c><c t="inlineStr"><is><t></t></is></c></row>',
+    b'<row r="12"><c r="B12" t="n"><v>-1.5E-2</v></c><c r="C12" s="2"><v>0.25</v></c></row>',
+]
+
+
+@pytest.mark.parametrize("piece", [64, 300, 1 << 22])
+@pytest.mark.parametrize("rows", [ODD_ROWS, ODD_ROWS[:2], ODD_ROWS[:1] + ODD_ROWS[-1:], []])
+def test_bulk_parser(monkeypatch, piece, rows):
+    """Whatever is found in bulk, or piece by piece by the XML parser, is what the XML parser finds in the whole sheet."""
+    monkeypatch.setattr(xlsx_fast, "PIECE", piece)
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(write_xlsx([SheetSpec("S", [])]))) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            new.writestr(name, SHEET_XML % b"".join(rows) if name.endswith("sheet1.xml") else old.read(name))
+        new.writestr("xl/sharedStrings.xml", "<sst><si><t>one</t></si></sst>")
+        rels = old.read("xl/_rels/workbook.xml.rels").decode()
+    content = out.getvalue()
+    fixed = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(fixed, "w") as new:
+        for name in old.namelist():
+            link = '<Relationship Id="s" Type="x/sharedStrings" Target="sharedStrings.xml"/></Relationships>'
+            new.writestr(name, rels.replace("</Relationships>", link) if name.endswith("workbook.xml.rels") else old.read(name))
+    book = Xlsx(fixed.getvalue())
+    want = {r: dict(c) for r, c in book.rows("S")}
+    columns = [c for cells in want.values() for c in cells]
+    assert tuple(book.used("S")) == (min(columns), max(columns) - min(columns) + 1, min(want), max(want))
+    got = {}
+    for batch in book.batches("S", 0, 30):
+        for row in batch.to_pylist():
+            found = {c: (x["k"], x["s"], x["d"], x["i"]) for c, x in enumerate(row["cells"]) if x["k"]}
+            got[row["_row"]] = found
+    assert {r: c for r, c in got.items() if c} == want and sorted(got) == list(range(max(want) + 1))
+    part = [r for b in book.batches("S", 1, 2, 2, 8, frozenset({1})) for r in b.to_pylist()]
+    assert all(r["cells"][0]["k"] == 0 and 2 <= r["_row"] < 8 for r in part)
+    assert {r["_row"]: r["cells"][1]["k"] for r in part if r["cells"][1]["k"]} == {r: c[2][0] for r, c in want.items() if 2 <= r < 8 and 2 in c}
+
+
+def test_kept_rows(spark, content):
+    sheet = read_workbook(content, spark).load_sheet("January", eager=True)
+    assert sheet.to_spark().is_cached is False and sheet.to_spark(keep_row=True).is_cached and sheet.to_spark().count() == 2
+    sheet.release()
+    assert not sheet.to_spark(keep_row=True).is_cached
+    assert {k: v.to_pylist() for k, v in sheet.to_columns().items()} == {"Month": [1.0, 2.0], "Year": [2019.0, 2020.0]}
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(write_xlsx([SheetSpec("January", MONTHS)]))
     rows = stream_folder(spark, str(tmp_path), {"month": (0, "int"), "year": (1, "int")})
