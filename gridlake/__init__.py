@@ -9,6 +9,7 @@ __version__ = "0.1.0"
 _EXPORTS = {
     "reader": ("read_workbook", "read_excel", "WorkbookHandle", "Sheet", "Table", "CellError", "CellErrors"),
     "plans.options": ("ColumnInfo", "ColumnInfoNoDtype", "Dtype", "LoadOptions"),
+    "functions.vectors": ("TypedColumn",),
     "sources.formats": ("DefinedName",),
     "sources.datasource": ("WorkbookSource", "register"),
     "errors": (

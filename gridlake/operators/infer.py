@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import UnsupportedColumnTypeCombinationError, WorkbookCellError
+from ..errors import CannotRetrieveCellDataError, UnsupportedColumnTypeCombinationError, WorkbookCellError
 from ..functions import coerce as C
 from ..plans.options import Coercion, Dtype
 
@@ -73,3 +73,13 @@ def lattice(mask: int, rows: int, coercion: Coercion = Coercion.COERCE, column:
     if Dtype.DURATION not in names:
         return Dtype.STRING
     raise UnsupportedColumnTypeCombinationError(f"could not determine dtype of {sorted(d.value for d in names)}").with_context(f"could not determine dtype for column {column}")
+
+
+def cell_dtype(grid: DataFrame, row: int, column: int) -> Dtype | None:
+    """The dtype of one cell, None if it is empty or like one; an error if there is no such cell, or if it holds an error."""
+    found = grid.filter(F.col("_row") == row).select(F.size("cells").alias("n"), cell_bit(F.get("cells", F.lit(column))).alias("bit")).first()
+    if found is None or not 0 <= column < found["n"]:
+        raise CannotRetrieveCellDataError(f"could not retrieve data at ({row},{column})")
+    if found["bit"] == BROKEN:
+        raise WorkbookCellError(f"the cell at ({row},{column}) holds an error")
+    return next((d for d, bit in BITS.items() if bit == found["bit"]), None)

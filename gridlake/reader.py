@@ -14,24 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import ArrowError, InvalidParametersError, SheetNotFoundError, WorkbookError
+from .functions.vectors import ARROW_TYPES, TypedColumn
 from .operators.rows import Extent
 from .plans.options import ColumnInfo, Dtype, LoadOptions, parse_idx_or_name
 from .plans.plan import Grid, LoadPlan
 from .sources.formats import DefinedName, Metadata, SheetMeta, TableMeta, Used, Workbook, open_workbook, used_range
 from .sources.scan import binary, scan_sheet
 
-ARROW_TYPES = {
-    Dtype.NULL: pa.null(),
-    Dtype.INT: pa.int64(),
-    Dtype.FLOAT: pa.float64(),
-    Dtype.STRING: pa.string(),
-    Dtype.BOOL: pa.bool_(),
-    Dtype.DATETIME: pa.timestamp("ms"),
-    Dtype.DATE: pa.date32(),
-    Dtype.DURATION: pa.duration("ms"),
-}
-
-
 class CellError:
     """A cell whose content its column's dtype cannot take."""
 
@@ -120,10 +109,10 @@ class _Loaded:
             return self._plan.dataframe(keep_row)
         return self._kept if keep_row else self._kept.drop("_row")
 
-    def to_columns(self) -> dict[str, pa.Array]:
-        """Each column as one Arrow array of its dtype, on the driver."""
+    def to_columns(self) -> list[TypedColumn]:
+        """The columns as typed vectors, on the driver."""
         table = self.to_arrow()
-        return {name: table.column(name).combine_chunks() for name in table.column_names}
+        return [TypedColumn(c.name, c.dtype, table.column(i).combine_chunks(), table.num_rows) for i, c in enumerate(self.selected_columns)]
 
     def to_arrow(self) -> pa.Table:
         """All rows in order, on the driver; types as the column dtypes say, all nullable."""

@@ -171,7 +171,7 @@ def test_kept_rows(spark, content):
     assert sheet.to_spark().is_cached is False and sheet.to_spark(keep_row=True).is_cached and sheet.to_spark().count() == 2
     sheet.release()
     assert not sheet.to_spark(keep_row=True).is_cached
-    assert {k: v.to_pylist() for k, v in sheet.to_columns().items()} == {"Month": [1.0, 2.0], "Year": [2019.0, 2020.0]}
+    assert {c.name: c.into("float") for c in sheet.to_columns()} == {"Month": [1.0, 2.0], "Year": [2019.0, 2020.0]}
 
 
 def test_stream(spark, tmp_path):
