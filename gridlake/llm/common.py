@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import shared_dir, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,17 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def _test_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="gridlake-checkpoint-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (single-machine tests) a temporary folder is used.
-    """
-    return spark.conf.get("spark.checkpoint.dir", None) or _test_dir()
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, by Spark's default file system if it has none: what is opened outside Spark must not turn local."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(there).toString()
 
 
 def release(spark: SparkSession) -> None:
@@ -40,40 +31,48 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the shared folder.
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = f"{shared_dir(df.sparkSession)}/gridlake/{uuid.uuid4().hex}/{name}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write ``df`` once as a Parquet table in the shared folder and read it back.
 
-    With ``rows``, the result is read in partitions of about that many rows at least: what iterations make is small and would
-    otherwise go on in ever more, ever emptier tasks.
+    A table and not ``checkpoint()``, as a checkpoint keeps its plan's size estimate: that is a product over all joins so far, so
+    in a loop it grows until its digits alone stall the planner, and no small side is ever known to be small.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(_test_dir())
-    out = df.checkpoint(eager=True)
-    return out if rows is None else out.coalesce(max(1, out.count() // rows))
+    return _written(df, "step")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as a Parquet table in the shared folder and read it back.
-
-    Like a checkpoint, but compressed and columnar, for tables that are large or read several times.
-    """
-    path = f"{shared_dir(df.sparkSession)}/gridlake/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    """The same for large tables: what was shuffled to make them is let go."""
+    out = _written(df, name)
     release(df.sparkSession)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_path = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``staged``, once all that was made of them is staged too."""
+    """Delete tables made by ``checkpointed`` or ``staged``, once all that was made of them is written too."""
     for t in tables:
         jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
         path = jvm.org.apache.hadoop.fs.Path(t._staged_path)
         path.getFileSystem(conf).delete(path, True)
 
 
+def grouped(rows: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
+    """``rows`` aggregated by ``keys``, to be joined by them with rows in which a key can be hot.
+
+    Adaptive execution splits a hot key only where an exchange stands just before the join on either side. An aggregate by the join's keys needs
+    none and would keep the hot key whole; so the keys come out as aggregates themselves, by which the result is not dealt yet.
+    """
+    own = {f"_{k}_": k for k in keys}
+    return rows.groupBy(*keys).agg(*(F.min(k).alias(n) for n, k in own.items()), *aggregates).drop(*keys).withColumnsRenamed(own)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, staged
+from .common import checkpointed, discard, grouped, staged
 from .components import components
 from .packing import slices
 
@@ -36,8 +36,6 @@ NEW_STARS = 3
 #: Members of a bucket that a block holds, about, and bits of a set's parities.
 BLOCK, BITS = 512, 1024
 SEGMENT = 1 << 18
-#: Rows of pairs and components that a partition holds, at least.
-PAIRS = 50_000
 
 _U = np.uint64
 
@@ -165,33 +163,30 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
+    """``n, d1, d2, shingles`` of each row: the whole set and its digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
+            digests = [_set_digest(s) for s in sets]
+            columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1))]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*columns, shingles], ["n", "d1", "d2", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return docs.mapInArrow(run, "n long, d1 long, d2 long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``a, b`` of ``pairs`` with 100 * intersection >= percent * union, on full sets."""
+    """The ``a, b`` of ``pairs`` with 100 * intersection >= percent * union, on full sets.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(z.as_buffer(), _U) for z in (x, y))
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                near = np.searchsorted(y, x)
-                same = int((y[np.minimum(near, len(y) - 1)] == x).sum())
-                ok.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    Expressions and no Python: a row is two whole sets, and a batch of them has no bound in bytes.
+    """
+    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
+    x, y, same = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
+    enough = F.when(100 * F.least(x, y) >= percent * F.greatest(x, y), 100 * same >= percent * (x + y - same)).otherwise(False)
+    return pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b")
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
@@ -203,11 +198,11 @@ def parities(shingles: np.ndarray) -> np.ndarray:
 def _marks(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.frombuffer(x.as_buffer(), _U) for x in batch.column("shingles")]
+            found = [x.values.to_numpy().view(_U) for x in batch.column("shingles")]
             marks = pa.array([parities(s).tobytes() for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), marks], ["doc", "n", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([len(s) for s in found], pa.int64()), marks], ["doc", "n", "marks"])
 
-    return sets.mapInArrow(run, "doc long, n long, marks binary")
+    return sets.select("doc", "shingles").mapInArrow(lambda batches: run(slices(batches, "shingles")), "doc long, n long, marks binary")
 
 
 def _apart(stars: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -218,16 +213,16 @@ def _apart(stars: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) ->
     """
     part = F.coalesce("p", "doc")
     members = stars.select("h", "doc").join(parts.select(F.col("node").alias("doc"), F.col("component").alias("p")), "doc", "left").select("h", "doc", part.alias("part"))
-    mixed = members.groupBy("h").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 <> p1").select("h")
-    members = checkpointed(members.join(mixed, "h"), PAIRS)
+    mixed = grouped(members, ["h"], F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 <> p1").select("h")
+    members = checkpointed(members.join(mixed, "h"))
     each = members.groupBy("h", "part").agg(F.count("*").alias("size"))
-    blocks = each.groupBy("h").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("large"), F.sum("size").alias("all"))
+    blocks = grouped(each, ["h"], F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("large"), F.sum("size").alias("all"))
     blocks = blocks.select("h", "main", F.ceil(F.col("large") / BLOCK).alias("mains"), F.ceil((F.col("all") - F.col("large")) / BLOCK).alias("rests"))
     salt, main = F.xxhash64(F.lit(17), "doc"), F.col("part") == F.col("main")
     dealt = members.join(blocks, "h").withColumn("g", F.when(main, F.col("rests") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("rests"))))
     dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") + F.when(main, 0).otherwise(F.col("mains")) - 1)))
     dealt = dealt.select("h", F.least("g", "x").alias("i"), F.greatest("g", "x").alias("j"), "g", "doc", "part")
-    loaded = dealt.join(_marks(sets.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")), "doc")
+    loaded = dealt.join(_marks(sets.join(members.select("doc").distinct(), "doc", "left_semi")), "doc")
 
     def pairs(b: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
         g, i, j, doc, part, n = (b.column(k).to_numpy() for k in ("g", "i", "j", "doc", "part", "n"))
@@ -273,30 +268,35 @@ def minhash_dedup(docs: DataFrame, text: str = "text", percent: int = PERCENT) -
 
     Words are runs of anything but ASCII blanks, A-Z lower-cased; shingles are of five words. ``component_id`` is the smallest doc_id reachable by links
     of at least ``percent`` in a hundred Jaccard similarity, itself included; the empty set links with nothing. ``doc_id`` must be
-    an integer and stands for its document: rows that repeat an id share the smallest of their components. Rows with a null id come back unlinked with a null component and not kept. An empty table gives an empty result.
+    an integer and stands for its document: rows that repeat an id with other texts are compared each by its own text, and all rows of the id share the smallest
+    of their components. Rows with a null id come back unlinked with a null component and not kept. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     sigs = staged(signatures(docs), "signatures")
     some = sigs.filter("n > 0 and doc_id is not null")
-    classes = some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands"))
-    classes = staged(classes, "classes")
-    copies = some.select("n", "d1", "d2", "doc_id").join(classes.filter("size > 1").select("n", "d1", "d2", "rep"), ["n", "d1", "d2"])
-    copies = copies.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-
-    # Of one id's rows with several texts, each has its class; a bucket is a hash of a band's number and values.
-    rows = classes.select(F.col("rep").alias("doc"), F.explode("bands").alias("h"))
+    key = ["n", "d1", "d2"]
+    classes = some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands"))
+    # One id can be the least of several classes, so each has a number of its own, fixed by writing it.
+    classes = staged(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
+    copies = some.select(*key, "doc_id").join(classes.filter("size > 1").select(*key, "rep", "doc"), key).filter("doc_id <> rep").select("doc", "rep", "doc_id")
+
+    # A bucket is a hash of a band's number and values.
+    rows = classes.select("doc", F.explode("bands").alias("h"))
     order = F.struct(F.xxhash64("h", "doc").alias("o"), F.col("doc"))
-    centres = rows.groupBy("h").agg(F.min(order)["doc"].alias("centre"), F.count("*").alias("size")).filter("size > 1").select("h", "centre")
+    centres = grouped(rows, ["h"], F.min(order)["doc"].alias("centre"), F.count("*").alias("size")).filter("size > 1").select("h", "centre")
     stars = staged(rows.join(centres, "h"), "stars")  # every row of a bucket with others
     edges = staged(stars.filter("doc <> centre").groupBy("doc", "centre").agg(F.count("*").alias("shared")), "edges")
-    wanted = stars.select(F.col("doc").alias("doc_id")).distinct()
-    sets = staged(_sets(docs.join(wanted, "doc_id", "left_semi")).groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "sets")
+    wanted = classes.join(stars.select("doc").distinct(), "doc", "left_semi").select(*key, "rep", "doc")
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # Sets are shuffled once: the join finds them dealt by its keys.
+    once = _sets(texts).groupBy(*key).agg(F.first("shingles").alias("shingles"))
+    sets = staged(once.join(wanted.select(*key, "doc"), key).select("doc", "shingles"), "sets")
 
     best = edges.groupBy("doc").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre"))
-    links = checkpointed(_confirmed(best.select(*_pair("doc", "centre")).distinct(), sets, percent), PAIRS)
+    links = checkpointed(_confirmed(best.select(*_pair("doc", "centre")).distinct(), sets, percent))
     tried, left, parts = None, stars, None
     for step in range(NEW_STARS + 1):
-        parts = parts or checkpointed(components(links), PAIRS)
+        parts = parts or checkpointed(components(links))
         of = lambda name, out: parts.select(F.col("node").alias(name), F.col("component").alias(out))  # noqa: B023, E731
         if step == 0:
             pairs = edges.select("doc", "centre")
@@ -305,27 +305,38 @@ def minhash_dedup(docs: DataFrame, text: str = "text", percent: int = PERCENT) -
             part = F.coalesce("p", "doc")
             left = left.join(of("doc", "p"), "doc", "left").join(of("centre", "q"), "centre", "left")
             left = left.filter(part != F.coalesce("q", "centre")).select("doc", "h", part.alias("part"))
-            again = left.groupBy("h").agg(F.min(order)["doc"].alias("centre"), F.min("part").alias("p0"), F.max("part").alias("p1"))
-            left = checkpointed(left.select("doc", "h").join(again.filter("p0 <> p1").select("h", "centre"), "h"), PAIRS)
+            again = grouped(left, ["h"], F.min(order)["doc"].alias("centre"), F.min("part").alias("p0"), F.max("part").alias("p1"))
+            left = checkpointed(left.select("doc", "h").join(again.filter("p0 <> p1").select("h", "centre"), "h"))
             pairs = left.filter("doc <> centre").select("doc", "centre").distinct()
         apart = pairs.join(of("doc", "p"), "doc", "left").join(of("centre", "q"), "centre", "left").filter(F.coalesce("p", "doc") != F.coalesce("q", "centre"))
         fresh = apart.select(*_pair("doc", "centre")).distinct()
-        fresh = checkpointed(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), PAIRS)
+        fresh = checkpointed(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             if step:
                 break
             continue
         tried = fresh if tried is None else tried.unionByName(fresh)
-        links, parts = checkpointed(links.unionByName(_confirmed(fresh, sets, percent)), PAIRS), None
-    parts = parts or checkpointed(components(links), PAIRS)
+        links, parts = checkpointed(links.unionByName(_confirmed(fresh, sets, percent))), None
+    parts = parts or checkpointed(components(links))
     # Whatever the stars left untested in a bucket, and its members already joined, as possible partners.
     fresh = _apart(stars, parts, sets, percent)
-    fresh = checkpointed(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), PAIRS)
+    fresh = checkpointed(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"))
     if not fresh.isEmpty():
-        parts = checkpointed(components(links.unionByName(_confirmed(fresh, sets, percent))), PAIRS)
-    # A copy is never the least of its class, so it only takes over the component.
-    taken = copies.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").select(F.col("b").alias("node"), F.coalesce("component", "a").alias("component"))
-    found = parts.unionByName(taken).groupBy("node").agg(F.min("component").alias("component"))
+        parts = checkpointed(components(links.unionByName(_confirmed(fresh, sets, percent))))
+    # From class numbers to ids. A copy is never the least of its class and only takes over the component, unless its id has other texts too.
+    reps = classes.select("doc", "rep")
+    named = parts.join(reps, parts["node"] == reps["doc"]).select("component", "rep")
+    least = checkpointed(named.groupBy("component").agg(F.min("rep").alias("least")))
+    node = checkpointed(parts.join(least, "component").select(F.col("node").alias("doc"), "least"))
+    several = some.select("doc_id", *key).distinct().groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1").select("doc_id")
+    several = checkpointed(several)
+    ids = reps.join(node, "doc", "left").select(F.col("rep").alias("node"), F.coalesce("least", "rep").alias("component"))
+    taken = copies.join(node, "doc", "left").select(F.col("doc_id").alias("node"), F.coalesce("least", "rep").alias("component"))
+    found = ids.filter("node <> component").unionByName(taken).groupBy("node").agg(F.min("component").alias("component"))
+    if not several.isEmpty():
+        links = checkpointed(ids.unionByName(taken).filter("node <> component"))
+        found = components(links.select(F.col("node").alias("a"), F.col("component").alias("b")))
     out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     part = F.coalesce("component", "doc_id")
+    discard(edges, stars, sets)
     return out.select("doc_id", "n_shingles", part.alias("component_id"), F.coalesce(F.col("doc_id") == part, F.lit(False)).alias("kept"))
