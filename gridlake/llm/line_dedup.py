@@ -4,10 +4,10 @@ A line belongs to the boilerplate if it stands on at least ``min_sites`` distinc
 sketches, one per line hash, which partial aggregation merges. A sketch errs, so lines whose estimate is near the threshold get an
 exact distinct count; far from it the estimate decides.
 
-Plan: lines become 16-byte hashes at the scan. Lines with fewer rows than ``min_sites``, or from one site, cannot
-qualify and leave by a plain count first; that count and the sketches combine map-side, so a line that a third of all rows
-hold costs a row a task. Texts are shuffled once, for the join with the hashes to remove from each; the
-join on a line hash is a plain equi-join that adaptive execution splits where a hash is hot.
+Plan: lines become 16-byte hashes at the scan. One aggregation counts rows, bounds the sites and fills the sketches; all of that combines
+map-side, so a line that a third of all rows hold costs a row a task. Lines near the threshold meet their rows again, dealt by (line, slice of sites), so that a hot
+line is spread over ``SLICES`` tasks, whose counts of distinct sites add up. What to cut from a text depends on the text alone: places are joined by a digest of the text and
+not by a row's number, so evaluating the input twice cannot mix rows up. Both joins stand between plain exchanges, where adaptive execution splits hot keys.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh
+from .common import checkpointed, fresh, grouped
 
 MIN_SITES = 10
 MIN_CHARS = 20
 LG_K = 12
 #: Six standard errors of a sketch with 2**LG_K registers (1.04 / sqrt(4096) each).
 MARGIN = 6 * 1.04 / 2 ** (LG_K / 2)
+#: Parts of a line's sites that are counted apart.
+SLICES = 16
 
 
 def _lines(text: Column) -> Column:
@@ -33,26 +35,30 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(norm).alias("a"), F.xxhash64(F.lit(11), norm).alias("b"))
 
 
+def _hashes(text: str, min_chars: int) -> Column:
+    """The distinct hashes of a text's lines of at least ``min_chars`` characters."""
+    return F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.char_length(F.trim(x)) >= min_chars), _hash))
+
+
 def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, text: str = "text", site: str = "source") -> DataFrame:
     """``h, n_sites`` of each line (its hash, blanks at the ends trimmed) of at least ``min_chars`` characters on at least ``min_sites`` sites.
 
     A null site is no site. ``n_sites`` is exact for lines near the threshold and an estimate for others.
     """
-    once = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.char_length(F.trim(x)) >= min_chars), _hash))
-    rows = docs.filter(F.col(site).isNotNull()).select(F.xxhash64(site).alias("s"), F.col(site).alias("site"), F.explode(once).alias("h")).select(
-        "s", "site", F.col("h.a").alias("a"), F.col("h.b").alias("b")
+    rows = docs.filter(F.col(site).isNotNull()).select(F.col(site).alias("site"), F.explode(_hashes(text, min_chars)).alias("h")).select(
+        "site", F.col("h.a").alias("a"), F.col("h.b").alias("b")
     )
-    # A line needs as many rows as sites, and two sites differ; this leaves few lines for the sketches.
-    often = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("s").alias("s0"), F.max("s").alias("s1"))
-    often = often.filter((F.col("n") >= min_sites) & ((F.col("s0") != F.col("s1")) | F.lit(min_sites <= 1))).select("a", "b")
-    held = rows.join(often, ["a", "b"], "left_semi") if min_sites > 1 else rows
-    sketched = held.groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
-    est = checkpointed(sketched.select("a", "b", F.hll_sketch_estimate("sketch").alias("est")))
+    seen = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("site").alias("s0"), F.max("site").alias("s1"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
+    # A line needs as many rows as sites, and two sites differ.
+    often = seen.filter((F.col("n") >= min_sites) & ((F.col("s0") != F.col("s1")) | F.lit(min_sites <= 1)))
+    est = checkpointed(often.select("a", "b", F.hll_sketch_estimate("sketch").alias("est")))
     # The band is at least one site wide on either side, so that rounding cannot decide.
     low, high = min(min_sites * (1 - MARGIN), min_sites - 1), max(min_sites * (1 + MARGIN), min_sites + 1)
     sure = est.filter(F.col("est") > high).select("a", "b", F.col("est").alias("n_sites"))
-    near = est.filter(F.col("est").between(low, high)).select("a", "b")
-    exact = rows.join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.countDistinct("site").alias("n_sites"))
+    near = est.filter(F.col("est").between(low, high)).select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
+    sliced = rows.withColumn("slice", F.pmod(F.xxhash64("site"), F.lit(SLICES)).cast("int"))
+    each = sliced.join(near, ["a", "b", "slice"], "left_semi").groupBy("a", "b", "slice").agg(F.countDistinct("site").alias("n"))
+    exact = each.groupBy("a", "b").agg(F.sum("n").alias("n_sites"))
     return sure.unionByName(exact.filter(F.col("n_sites") >= min_sites)).select(F.struct("a", "b").alias("h"), "n_sites")
 
 
@@ -61,16 +67,16 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN
 
     A line ends at a line feed; the lines that stay are joined by line feeds in their order, so a text without
     boilerplate does not change. Null texts stay null with 0 lines; an empty text is one empty line. Lines under ``min_chars`` characters,
-    trimmed, always stay, as do all lines of documents whose only occurrences are on few sites. Rows are told apart by
-    position, not by ``doc_id``, so repeated rows and null ids are kept. Empty tables give empty results.
+    trimmed, always stay, as do all lines of documents whose only occurrences are on few sites. Equal texts are cut alike whatever their
+    ``doc_id``, so repeated rows and null ids are kept. Empty tables give empty results.
     """
-    row, bad, n_lines, n_removed = fresh(docs, "_row", "_bad", "n_lines", "n_removed")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    key, bad, n_lines, n_removed = fresh(docs, "_key", "_bad", "n_lines", "n_removed")
+    digest = F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(5), F.col(text)).alias("y"))
     found = checkpointed(boilerplate_lines(docs, min_sites, min_chars, text, site).select(F.col("h.a").alias("a"), F.col("h.b").alias("b")))
-    once = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.char_length(F.trim(x)) >= min_chars), _hash))
-    places = numbered.select(F.col(row).alias("r"), F.explode(once).alias("h")).select("r", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
-    hit = places.join(found, ["a", "b"]).groupBy("r").agg(F.collect_list(F.struct("a", "b")).alias(bad)).withColumnRenamed("r", row)
-    marked = numbered.join(hit, row, "left")
+    places = docs.filter(F.col(text).isNotNull()).select(digest.alias("k"), F.explode(_hashes(text, min_chars)).alias("h")).select("k", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
+    # Copies of a text report each line once a task.
+    hit = grouped(places.join(found, ["a", "b"]), ["k"], F.collect_set(F.struct("a", "b")).alias(bad)).withColumnRenamed("k", key)
+    marked = docs.withColumn(key, digest).join(hit, key, "left")
     kept = F.filter(_lines(F.col(text)), lambda x: ~F.array_contains(F.col(bad), _hash(x)))
     cut = F.when(F.col(bad).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     total = F.coalesce(F.size(_lines(F.col(text))).cast("long"), F.lit(0).cast("long"))
