@@ -13,6 +13,7 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from ..functions import coerce as C
 from .formats import Cell
@@ -99,6 +100,17 @@ def used(stream: BinaryIO, parse: Callable[[bytes], Iterator[tuple[int, dict[int
     return low or 0, high - low + 1 if low is not None else 0, first, last
 
 
+def _some(texts: pa.Array, part: str) -> bool:
+    return bool(pc.any(pc.match_substring(texts, part)).as_py())
+
+
+def _plain(texts: pa.Array) -> pa.Array:
+    """Texts without XML's escapes and with its line ends."""
+    if not _some(texts, "&") and not _some(texts, "\r"):
+        return texts
+    return pa.array([unescape(x).replace("\r\n", "\n").replace("\r", "\n") for x in texts.to_pylist()], pa.string())
+
+
 class Sheet:
     """One sheet's rows as Arrow batches."""
 
@@ -113,44 +125,43 @@ class Sheet:
             return None
         if not found:
             return [np.zeros(0, np.int64)] * 3 + [pa.array([], pa.string()), np.zeros(0), np.zeros(0, np.int64)]
-        letters, rows, style, kind, value, inline = zip(*found)
+        letters, *others = zip(*found)
         col = np.fromiter(map(self.columns.__getitem__, letters), np.int64, len(found))
-        row = pa.array(rows, pa.binary()).cast(pa.string()).cast(pa.int64()).to_numpy() - 1
-        names, of = np.unique(np.array(kind, "S9"), return_inverse=True)
+        rows, style, kind, value, inline = (pa.array(x, pa.binary()).cast(pa.string()) for x in others)
+        row = rows.cast(pa.int64()).to_numpy() - 1
+        kind = kind.dictionary_encode()
+        of, names = kind.indices.to_numpy(), kind.dictionary.to_pylist()
         k, d, i = np.zeros(len(found), np.int8), np.zeros(len(found)), np.zeros(len(found), np.int64)
         texts: list[tuple[np.ndarray, pa.Array]] = []
-        held = np.array([bool(v) for v in value])
-        take = lambda at, items: [items[p] for p in at.tolist()]
-        for n, name in enumerate(names.tolist()):
+        held = pc.binary_length(value).to_numpy() > 0
+        for n, name in enumerate(names):
             at = np.flatnonzero((of == n) & held)
-            if name in (b"", b"n"):
-                d[at] = pa.array(take(at, value), pa.binary()).cast(pa.string()).cast(pa.float64()).to_numpy()
-                shows = np.array(take(at, style), "S9") if self.styles else np.zeros(0)
+            here = value.take(pa.array(at))
+            if name in ("", "n"):
+                d[at] = here.cast(pa.float64()).to_numpy()
                 k[at] = C.FLOAT
-                for s in np.unique(shows).tolist():
-                    if (as_ := self.styles[int(s or 0)]) != C.FLOAT:
-                        some = at[shows == s]
-                        k[some] = as_
-                        if as_ == C.SERIAL:
-                            d[some] += self.epoch
-            elif name == b"s":
+                if self.styles and len(at):
+                    shown = style.take(pa.array(at)).dictionary_encode()
+                    kinds = np.array([self.styles[int(x or 0)] for x in shown.dictionary.to_pylist()], np.int8)
+                    k[at] = kinds[shown.indices.to_numpy()]
+                    d[at[k[at] == C.SERIAL]] += self.epoch
+            elif name == "s":
                 k[at] = C.STRING
-                texts.append((at, self.shared().take(pa.array(take(at, value), pa.binary()).cast(pa.string()).cast(pa.int64()))))
-            elif name == b"b":
+                texts.append((at, self.shared().take(here.cast(pa.int64()))))
+            elif name == "b":
                 k[at] = C.BOOL
-                i[at] = [v in (b"1", b"true") for v in take(at, value)]
-            elif name in (b"e", b"d"):
-                k[at] = C.ERROR if name == b"e" else C.ISO
-                texts.append((at, self._text(take(at, value))))
-            elif name in (b"inlineStr", b"str"):
-                items = inline if name == b"inlineStr" else value
+                i[at] = pc.is_in(here, pa.array(["1", "true"])).to_numpy(zero_copy_only=False)
+            elif name in ("e", "d"):
+                k[at] = C.ERROR if name == "e" else C.ISO
+                texts.append((at, _plain(here)))
+            elif name in ("inlineStr", "str"):
                 at = np.flatnonzero(of == n)
-                if not all(take(at, items)):  # an empty text or no text: the tags tell, which are not at hand
-                    return None
-                if any(b"_x" in x or b"&#" in x for x in take(at, items)):
+                here = (inline if name == "inlineStr" else value).take(pa.array(at))
+                # An empty text, or none: the tags tell, which are not at hand. Escapes are for the parser too.
+                if pc.min(pc.binary_length(here)).as_py() == 0 or _some(here, "_x") or _some(here, "&#"):
                     return None
                 k[at] = C.STRING
-                texts.append((at, self._text(take(at, items))))
+                texts.append((at, _plain(here)))
             else:
                 return None
         place = np.full(len(found), -1, np.int64)
@@ -161,12 +172,6 @@ class Sheet:
         every = pa.concat_arrays([t for _, t in texts]) if texts else pa.array([], pa.string())
         return row, col, k, every.take(pa.array(place, mask=place < 0)), d, i
 
-    @staticmethod
-    def _text(items: list[bytes]) -> pa.Array:
-        if any(b"&" in x or b"\r" in x for x in items):
-            return pa.array([unescape(x.decode()).replace("\r\n", "\n").replace("\r", "\n") if b"&" in x or b"\r" in x else x.decode() for x in items], pa.string())
-        return pa.array(items, pa.binary()).cast(pa.string())
-
     def _parsed(self, piece: bytes):
         cells = [(r, c, *cell) for r, found in self.parse(piece) for c, cell in found.items()]
         r, c, k, s, d, i = zip(*cells) if cells else [()] * 6
