@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple, Protocol
 
-from ..errors import InternalError, WorkbookFormatError
+from ..errors import WorkbookFormatError
 from ..functions import coerce as C
 
 #: kind, text, number, integer
@@ -75,6 +75,7 @@ def open_workbook(content: bytes) -> Workbook:
     """A parser for the bytes, by what they are and not by a file name."""
     from .ods import Ods
     from .xls import Xls
+    from .xlsb import Xlsb
     from .xlsx import Xlsx
 
     try:
@@ -87,8 +88,8 @@ def open_workbook(content: bytes) -> Workbook:
         if "xl/workbook.xml" in names or any(n.endswith("workbook.xml") for n in names):
             return Xlsx(content)
         if any(n.endswith("workbook.bin") for n in names):
-            raise InternalError("binary xlsb workbooks are not supported")
-    except (zipfile.BadZipFile, KeyError, ValueError, SyntaxError, EOFError, IndexError, struct.error) as e:
+            return Xlsb(content)
+    except (zipfile.BadZipFile, KeyError, ValueError, SyntaxError, EOFError, IndexError, StopIteration, struct.error) as e:
         raise WorkbookFormatError(f"cannot open workbook: {e}") from e
     raise WorkbookFormatError("cannot open workbook: not a known format")
 

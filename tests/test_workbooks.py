@@ -237,6 +237,57 @@ def test_xls(spark):
     assert got.to_pydict() == {"name": ["Zoé", "true"], "n": [dt.datetime(2023, 7, 21), dt.datetime(2023, 7, 22)]}
 
 
+def xlsb() -> bytes:
+    """A binary workbook record by record: a visible and a hidden sheet, shared and own strings, a date style."""
+
+    def record(kind, body=b""):
+        head = bytes([kind]) if kind < 0x80 else bytes([kind & 0x7F | 0x80, kind >> 7])
+        size, n = b"", len(body)
+        while True:
+            size += bytes([n & 0x7F | (0x80 if n > 0x7F else 0)])
+            n >>= 7
+            if not n:
+                return head + size + body
+
+    text = lambda s: struct.pack("<I", len(s.encode("utf-16-le")) // 2) + s.encode("utf-16-le")
+    cell = lambda kind, col, body, style=0: record(kind, struct.pack("<II", col, style) + body)
+    row = lambda n, *cells: record(0, struct.pack("<I", n) + b"\0" * 13) + b"".join(cells)
+    sheet = record(145) + row(2, cell(7, 1, struct.pack("<I", 0)), cell(6, 2, text("n" * 70)), cell(8, 3, text("day") + b"\0\0"), cell(62, 4, b"\0" + text("ok")))
+    sheet += row(3, cell(5, 1, struct.pack("<d", 1.5)), cell(2, 2, struct.pack("<I", 7 << 2 | 2)), cell(9, 3, struct.pack("<d", 45128.5), 1), cell(4, 4, b"\1"))
+    sheet += row(5, cell(1, 1, b""), cell(3, 2, bytes([42])), cell(2, 3, struct.pack("<I", 45129 << 2 | 2), 1), cell(10, 4, b"\0"), cell(11, 1, bytes([7]))) + record(146)
+    names = record(39, struct.pack("<IBI", 0, 0, 0xFFFFFFFF) + text("Total") + b"\0" * 8)
+    bundle = lambda state, rid, name: record(156, struct.pack("<II", state, 1) + text(rid) + text(name))
+    parts = {
+        "xl/workbook.bin": record(153, struct.pack("<II", 0, 0)) + bundle(0, "r1", "S") + bundle(2, "r2", "Blätter") + names,
+        "xl/worksheets/sheet1.bin": sheet,
+        "xl/worksheets/sheet2.bin": record(145) + record(146),
+        "xl/sharedStrings.bin": record(159, struct.pack("<II", 1, 1)) + record(19, b"\0" + text("prix €")),
+        "xl/styles.bin": record(44, struct.pack("<H", 170) + text("yyyy-mm-dd")) + record(47, struct.pack("<HH", 0, 170)) + record(617) + record(47, struct.pack("<HH", 0, 0)) + record(47, struct.pack("<HH", 0, 170)) + record(618),
+    }
+    kinds = {"r1": ("worksheet", "worksheets/sheet1.bin"), "r2": ("worksheet", "/xl/worksheets/sheet2.bin"), "r3": ("sharedStrings", "sharedStrings.bin"), "r4": ("styles", "styles.bin")}
+    links = "".join(f'<Relationship Id="{k}" Type="x/{t}" Target="{path}"/>' for k, (t, path) in kinds.items())
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in parts.items():
+            z.writestr(name, body)
+        z.writestr("xl/_rels/workbook.bin.rels", f"<Relationships>{links}</Relationships>")
+    return out.getvalue()
+
+
+def test_xlsb(spark):
+    book = read_workbook(xlsb(), spark)
+    assert [(s.name, s.visible) for s in book._metadata.sheets] == [("S", "visible"), ("Blätter", "veryhidden")]
+    assert [n.name for n in book.defined_names()] == ["Total"]
+    sheet = book.load_sheet("S")
+    assert (sheet.width, sheet.total_height) == (4, 3)
+    got = sheet.to_arrow().to_pydict()
+    assert got["prix €"] == [1.5, None, None] and got["n" * 70] == [7.0, None, None] and got["ok"] == [True, None, False]
+    assert got["day"] == [dt.datetime(2023, 7, 21, 12), None, dt.datetime(2023, 7, 22)]
+    assert book.load_sheet("Blätter").to_arrow().num_rows == 0
+    with pytest.raises(InternalError):
+        book.table_names()
+
+
 @pytest.mark.parametrize(("raw", "value"), [((5 << 2) | 2, 5.0), ((-7 << 2 | 2) & 0xFFFFFFFF, -7.0), ((1234 << 2) | 3, 12.34), (0x3FF00000, 1.0)])
 def test_rk(raw, value):
     assert rk_number(raw) == value
