@@ -1,15 +1,15 @@
 """Exact dedup by deterministic block naming, in DataFrame operations only.
 
-Every normalised text is cut into fixed-size blocks of bytes. The distinct blocks are sorted within hash
+Every normalised text is cut into fixed-size blocks of bytes. The distinct blocks are sorted by their bytes within hash
 buckets and their rank there, with the bucket, is the block's integer name: equal names mean equal blocks.
 Then adjacent pairs of names are named the same way, level by level, until each document
-holds one name. Names cannot collide, because a rank over distinct values decides them; a digest only carries a block
-to its name. That the digests tell all blocks apart is checked, and if they did not, their contents would decide.
+holds one name. Names cannot collide, because a rank over distinct values decides them; a digest only carries a block's name back
+to its places. That the digests tell all blocks apart is checked, and if they did not, their contents would decide.
 
-Plan: a block's bytes are shuffled once (distinct, after map-side combining, so a block that a third of the corpus shares
-costs one row a task); everything later moves rows of a few integers. Each level halves the rows; the number of levels
-is the logarithm of the longest text's block count. Joins on a hot name are plain equi-joins that adaptive execution
-splits.
+Plan: distinct blocks are shuffled twice, by digest (after map-side combining, so a block that a third of the corpus shares
+costs one row a task) and by bucket, to be sorted; everything later moves rows of a few integers. Each level halves the rows; the number of levels
+is the logarithm of the longest text's block count. Names go back to places, and groups to documents, by joins of which adaptive
+execution can split a hot key, since on either side an exchange stands just before the join.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import checkpointed, lower_ascii
+from .common import checkpointed, grouped, lower_ascii, staged
 
 BLOCK_BYTES = 4096
 #: Names are rank * BUCKETS + bucket. A bucket's distinct values are ranked in one task.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
 
 
 def _digest(block: Column) -> tuple[Column, Column]:
@@ -36,13 +36,8 @@ def _named(values: DataFrame, by: list[str], bucket: Column, name: str) -> DataF
 
 
 def block_names(blocks: DataFrame) -> DataFrame:
-    """Blocks as ``h1, h2, block`` to ``h1, h2, name, content``: content is null but where one digest has several contents."""
-    digests = blocks.groupBy("h1", "h2").agg(F.collect_set("block").alias("contents"))
-    several = F.size("contents") > 1
-    nothing = F.array(F.lit(None).cast("binary"))
-    # A digest with one content stands for it in the sort, so that contents need not be shuffled again.
-    values = digests.select("h1", "h2", F.explode(F.when(several, F.col("contents")).otherwise(nothing)).alias("content"))
-    return _named(values, ["h1", "h2", "content"], F.pmod("h1", F.lit(BUCKETS)), "name")
+    """Blocks as ``h1, h2, block`` to their distinct ones with ``name``, the rank by their bytes."""
+    return _named(blocks.select("h1", "h2", "block").distinct(), ["block"], F.pmod("h1", F.lit(BUCKETS)), "name")
 
 
 def name_documents(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -54,25 +49,31 @@ def name_documents(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), norm.alias("t")).select(
         "row", "doc_id", F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"), F.col("t").cast("binary").alias("b")
     )
-    count = F.greatest(F.ceil(F.octet_length("b") / F.lit(block_bytes)).cast("int"), F.lit(1))
-    cut = base.withColumn(
-        "blocks", F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("b"), i * block_bytes + 1, F.lit(block_bytes)))
-    )
-    digests = F.transform("blocks", lambda x: F.struct(_digest(x)[0].alias("h1"), _digest(x)[1].alias("h2")))
-    marked = checkpointed(cut.select("row", "doc_id", "text_sha256", digests.alias("digests")))
-
-    contents = cut.select(F.explode("blocks").alias("block")).select(*(c.alias(n) for n, c in zip(("h1", "h2"), _digest(F.col("block")))), "block")
-    names = checkpointed(block_names(contents))
-    places = marked.select("row", F.posexplode("digests").alias("pos", "d")).select("row", "pos", F.col("d.h1").alias("h1"), F.col("d.h2").alias("h2"))
-    if names.filter("content is not null").isEmpty():
-        level = places.join(names.drop("content"), ["h1", "h2"]).select("row", "pos", "name")
-    else:  # one digest for several contents: here the contents decide
-        whole = cut.select("row", F.posexplode("blocks").alias("pos", "block")).select(
+
+    def cut(rows: DataFrame) -> DataFrame:
+        count = F.greatest(F.ceil(F.octet_length("b") / F.lit(block_bytes)).cast("int"), F.lit(1))
+        return rows.withColumn("blocks", F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("b"), i * block_bytes + 1, F.lit(block_bytes))))
+
+    def places_of(rows: DataFrame) -> DataFrame:
+        digests = F.transform("blocks", lambda x: F.struct(_digest(x)[0].alias("h1"), _digest(x)[1].alias("h2")))
+        return cut(rows).select("row", "doc_id", "text_sha256", digests.alias("digests"))
+
+    # Rows are numbered here once; blocks carry no number, so that evaluating the texts again cannot mix rows up.
+    marked = checkpointed(places_of(base))
+    # Outer, though no text is without a block: else the planner evaluates all blocks once more, in a filter of texts that have some.
+    contents = cut(base).select(F.explode_outer("blocks").alias("block")).select(*(c.alias(n) for n, c in zip(("h1", "h2"), _digest(F.col("block")))), "block")
+    names = checkpointed(block_names(contents).select("h1", "h2", "name"))
+    several = checkpointed(names.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"))
+    if several.isEmpty():
+        places = marked.select("row", F.posexplode("digests").alias("pos", "d")).select("row", "pos", F.col("d.h1").alias("h1"), F.col("d.h2").alias("h2"))
+        level = places.join(names, ["h1", "h2"]).select("row", "pos", "name")
+    else:  # one digest for several contents: here the contents decide, and numbers and texts come from one table
+        base = staged(base, "numbered")
+        marked = checkpointed(places_of(base))
+        whole = cut(base).select("row", F.posexplode_outer("blocks").alias("pos", "block")).select(
             "row", "pos", *(c.alias(n) for n, c in zip(("h1", "h2"), _digest(F.col("block")))), "block"
         )
-        names = names.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "name", "content")
-        same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.coalesce(F.col("content") == F.col("block"), F.lit(True))
-        level = whole.join(names, same).select("row", "pos", "name")
+        level = whole.join(block_names(whole), ["h1", "h2", "block"]).select("row", "pos", "name")
 
     most = marked.agg(F.max(F.size("digests"))).first()[0] or 1
     done, depth = [], 0
@@ -114,7 +115,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
     """
     named = name_documents(docs.select("doc_id", F.col(text).alias("text")), "text", block_bytes)
     best = F.max(F.struct("doc_id", "row"))
-    groups = named.groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
+    groups = grouped(named, ["level", "name"], best.alias("best"), F.count("*").alias("group_size"))
     return named.join(groups, ["level", "name"]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
