@@ -87,13 +87,12 @@ def used(stream: BinaryIO, parse: Callable[[bytes], Iterator[tuple[int, dict[int
 
     for piece in pieces(stream):
         starts = piece.count(b'<c r="')
-        # Where every cell has a value, the first and the last cell of a row tell its extent.
+        # Where every cell has a value, the first and the last cell of a row tell its extent; nothing begins before column A.
         if starts and starts == piece.count(b"<c") and starts == piece.count(b"<v>") + piece.count(b"<is><t") and b"<v></v>" not in piece:
-            rows = [r for r in piece.split(b"</row>") if b"<c" in r]
-            heads = {r.partition(b'<c r="')[2][:4] for r in rows}
-            tails = {r.rpartition(b'<c r="')[2][:4] for r in rows}
-            ends = [_START.search(rows[0]), _START.search(rows[-1])]
-            seen([int(m[2]) - 1 for m in ends], [columns[re.match(rb"[A-Z]+", x)[0]] for x in heads | tails])
+            rows = piece.split(b"</row>")
+            ends = {r.rpartition(b'<c r="')[2][:4] for r in rows} | (set() if low == 0 else {r.partition(b'<c r="')[2][:4] for r in rows})
+            cols = [columns[m[0]] for m in map(re.compile(rb"[A-Z]+").match, ends) if m]
+            seen([int(_START.match(piece, at)[2]) - 1 for at in (piece.find(b'<c r="'), piece.rfind(b'<c r="'))], cols)
         else:
             for r, cells in parse(piece):
                 seen([r], [min(cells), max(cells)])
