@@ -4,7 +4,7 @@ A linear model minimises the non-negative unbiased risk  pi R+(P) + max(0, R-(U)
 and a class prior pi, with the logistic loss. pi is estimated from P and U alone: the smallest ratio of U's to P's share above a
 score, over all scores of a first model that tells P from U.
 
-Features of a whole text: shares of pairs of byte classes, how well it compresses, its length. They come from one pass in vectorised
+Features of a whole text: shares of pairs of byte classes, of hashed words and of hashed byte trigrams, how well it compresses, its length. They come from one pass in vectorised
 Python; only the samples for the fit (``max_positive`` and ``max_unlabelled`` rows, chosen by a hash of the id) reach the driver, and
 their sizes do not grow with the corpus. Scoring is one pass over all texts without a shuffle.
 """
@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .minhash import _mix, word_hashes
 from .packing import slices
 
-MAX_POSITIVE = 6_000
-MAX_UNLABELLED = 12_000
+MAX_POSITIVE = 4_000
+MAX_UNLABELLED = 8_000
 #: A text is rejected under this score.
 THRESHOLD = 0.3
 
@@ -41,21 +42,34 @@ def _classes() -> np.ndarray:
 
 CLASSES = _classes()
 N = 16
-WIDTH = N * N + 4
+#: Buckets of hashed words (A-Z count as a-z) and of hashed byte trigrams.
+WORDS, GRAMS = 512, 256
+PLAIN = N * N + 4
+WIDTH = PLAIN + WORDS + GRAMS
+#: How far a hashed feature counts beside a plain one: they are many, and each sees few texts.
+HASHED = np.where(np.arange(WIDTH) < PLAIN, 1, 0.1).astype(np.float32)
+
+
+def _shares(bucket: np.ndarray, size: int) -> np.ndarray:
+    return np.sqrt(np.bincount(bucket, minlength=size) / max(1, len(bucket)))
 
 
 def features(texts: list[bytes]) -> np.ndarray:
     """One row per text; every byte counts."""
-    out = np.zeros((len(texts), WIDTH), np.float64)
+    out = np.zeros((len(texts), WIDTH), np.float32)
     for row, t in zip(out, texts):
         n = len(t)
         if n:
-            c = CLASSES[np.frombuffer(t, np.uint8)]
-            pairs = np.bincount(c[:-1] * N + c[1:], minlength=N * N)
-            row[: N * N] = np.sqrt(pairs / max(1, n - 1))
+            b = np.frombuffer(t, np.uint8)
+            c = CLASSES[b]
+            row[: N * N] = _shares(c[:-1] * N + c[1:], N * N)
             words = t.split()
             w = max(1, len(words))
-            row[N * N :] = (len(zlib.compress(t, 1)) / (n + 32), np.log1p(n) / 12, sum(map(bytes.__eq__, words[1:], words)) / w, len(set(words)) / w)
+            row[N * N : PLAIN] = (len(zlib.compress(t, 1)) / (n + 32), np.log1p(n) / 12, sum(map(bytes.__eq__, words[1:], words)) / w, len(set(words)) / w)
+            row[PLAIN : PLAIN + WORDS] = _shares((word_hashes(b)[0] % np.uint64(WORDS)).astype(np.int64), WORDS)
+            u = b.astype(np.uint64)
+            grams = _mix(u[:-2] << np.uint64(16) | u[1:-1] << np.uint64(8) | u[2:])
+            row[PLAIN + WORDS :] = _shares((grams % np.uint64(GRAMS)).astype(np.int64), GRAMS)
     return out
 
 
@@ -67,11 +81,12 @@ def _sample(docs: DataFrame, text: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x = features([(t or "").encode() for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], ["x"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], ["x"])
 
     rows = _frame(docs, text).mapInArrow(run, "x binary").toArrow().column("x").to_pylist()
     # The order of the rows depends on the tasks; sorting makes the fit repeatable.
-    return np.array([np.frombuffer(r, "<f4") for r in sorted(rows)], np.float64).reshape(-1, WIDTH)
+    rows.sort()
+    return np.frombuffer(b"".join(rows), "<f2").astype(np.float32).reshape(-1, WIDTH)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -108,10 +123,21 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, steps: int = 150) -> float:
 
 def fit_pu(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, steps: int = 400, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights (features standardised inside, so they apply to plain features with a trailing 1) and the prior."""
-    both = np.vstack([pos, unl])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    one = lambda x: np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
-    p, u = one(pos).astype(np.float32), one(unl).astype(np.float32)
+    k, n = pos.shape[1], len(pos) + len(unl)
+    mean = (pos.sum(0, np.float64) + unl.sum(0, np.float64)) / n
+    square = sum(np.einsum("ij,ij->j", x, x, dtype=np.float64) for x in (pos, unl)) / n
+    scale = np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-3
+    if k == WIDTH:
+        scale = scale / HASHED
+
+    def one(x: np.ndarray) -> np.ndarray:
+        """Standardised, with a trailing 1; made in place, as the driver holds these."""
+        out = np.ones((len(x), k + 1), np.float32)
+        np.divide(x - mean.astype(np.float32), scale.astype(np.float32), out=out[:, :k])
+        np.clip(out[:, :k], -8, 8, out=out[:, :k])
+        return out
+
+    p, u = one(pos), one(unl)
     pi = estimate_prior(p, u) if prior is None else prior
 
     def grad(w: np.ndarray) -> np.ndarray:
@@ -137,29 +163,35 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> np.ndarray | None:
-    """A model from documents that ``labels`` marks 1 and unlabelled ones, held-out ids left out of both; None without positives."""
+    """A model from documents that ``labels`` marks 1 and unlabelled ones, held-out ids left out of both.
+
+    None if there are no documents or fewer than two positive labels to learn from; an error if there are, but the sample found no text of them.
+    """
     ids = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
 
-    def some(rows: DataFrame, most: int) -> DataFrame:
-        """About ``most`` rows at most, by a hash of the id."""
-        n = rows.count()
-        return rows.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) < int(min(1, most / max(1, n)) * (1 << 20)))
+    def some(rows: DataFrame, n: int, most: int) -> DataFrame:
+        """About ``most`` of ``n`` rows at most, by 62 bits of a hash of the id."""
+        return rows.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 62)) < (1 << 62) * min(most, n) // max(1, n))
 
-    # At most max_positive ids, so the broadcast has a bound.
-    pos = _sample(_frame(docs, text).join(F.broadcast(some(ids, max_positive)), "doc_id", "left_semi"), text="text")
     rest = _frame(docs, text).filter(~held_out(F.col("doc_id")))
-    unl = _sample(some(rest, max_unlabelled), text="text")
-    if len(pos) < 2 or len(unl) < 2:
+    n_ids, n_rest = ids.count(), rest.count()
+    if n_ids < 2 or n_rest < 2:
         return None
-    return fit_pu(pos, unl)[0]
+    # At most max_positive ids, so the broadcast has a bound.
+    pos = _sample(_frame(docs, text).join(F.broadcast(some(ids, n_ids, max_positive)), "doc_id", "left_semi"), text="text")
+    unl = _sample(some(rest, n_rest, max_unlabelled), text="text")
+    if not len(pos) or not len(unl):
+        raise ValueError(f"no text found to learn from: {len(pos)} of {n_ids} positive and {len(unl)} of {n_rest} unlabelled documents")
+    return None if len(pos) < 2 or len(unl) < 2 else fit_pu(pos, unl)[0]
 
 
-def score(docs: DataFrame, model: np.ndarray | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` and ``score`` (0 to 1), ``predicted`` (1 from ``threshold`` on); only the text is scored.
+def score(docs: DataFrame, model: np.ndarray | None, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of ``docs`` and, under ``names``, its score (0 to 1) and prediction (1 from ``threshold`` on); only the text is scored.
 
-    A null or empty text has the score of all-zero features. Without a model every score is 0.5. Columns named score or predicted are replaced.
+    A null or empty text has the score of all-zero features. Without a model every score is 0.5. Columns of ``docs`` with one of the names are replaced. An empty
+    table gives an empty result.
     """
-    others = [c for c in docs.columns if c not in ("score", "predicted")]
+    others = [c for c in docs.columns if c not in names]
     schema = docs.select(others).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +199,6 @@ def score(docs: DataFrame, model: np.ndarray | None, text: str = "text", thresho
             x = features([(t or "").encode() for t in batch.column(text).to_pylist()])
             s = np.full(len(x), 0.5) if model is None else score_features(x, model)
             cols = [batch.column(c) for c in others] + [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, [*others, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(cols, [*others, *names])
 
-    return docs.select(others).mapInArrow(run, schema.add("score", "double").add("predicted", "integer"))
+    return docs.select(others).mapInArrow(run, schema.add(names[0], "double").add(names[1], "integer"))
