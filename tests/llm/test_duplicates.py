@@ -8,11 +8,13 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridlake.llm import minhash as M
 from gridlake.llm import nn_descent as N
 from gridlake.llm import suffix_dedup as S
 from gridlake.llm import warc as A
+from gridlake.llm.common import checkpointed, grouped
 from gridlake.llm.components import components
 
 DOCS = "doc_id long, text string, component long, bands string, t int, gram string"
@@ -156,6 +158,49 @@ def test_parities_bound_differences():
         assert np.bitwise_count(M.parities(x) ^ M.parities(y)).sum() <= len(np.setxor1d(x, y))
 
 
+def test_minhash_repeated_ids_with_other_texts(spark):
+    """Each text of an id links by its own set, and the rows of the id share the smallest component."""
+    rng = random.Random(23)
+    text = lambda: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+
+    def near(words):
+        return [*words[:100], "changed", *words[101:]]
+
+    p, q, r = text(), text(), text()
+    rows = [(1, p), (1, q), (2, near(p)), (3, near(q)), (9, r), (4, near(r)), (9, near(q)), (7, text()), (7, text())]
+    got = sorted((x["doc_id"], x["component_id"], x["kept"]) for x in M.minhash_dedup(docs(spark, [(i, " ".join(w)) for i, w in rows])).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (7, 7, True), (7, 7, True), (9, 1, False), (9, 1, False)]
+
+
+def test_hot_keys_are_split(spark):
+    """A join of rows with an aggregate by the same key is split where a key is hot."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 60_000, 1, 8).selectExpr("if(id % 3 = 0, -1, id) AS k", "id")
+        hot = rows.join(grouped(rows, ["k"], F.count("*").alias("n")), "k")
+        assert hot.selectExpr("sum(n)").first()[0] == 20_000**2 + 40_000
+        shown = hot.filter("n >= 0")
+        shown.collect()
+        assert "skew=true" in shown._jdf.queryExecution().executedPlan().toString()
+        plain = rows.join(rows.groupBy("k").agg(F.count("*").alias("n")), "k").filter("n >= 0")
+        plain.collect()
+        assert "skew=true" not in plain._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_tables_of_iterations_stay_small_plans(spark):
+    """Sizes that the planner assumes do not grow from step to step."""
+    now = spark.range(100).selectExpr("id AS a", "id + 1 AS b")
+    for _ in range(4):
+        now = checkpointed(now.join(now.withColumnRenamed("b", "c"), "a").select("a", "b"))
+    assert now._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 20
+
+
 # Suffix dedup
 
 
@@ -264,6 +309,64 @@ def test_embeddings(spark):
     assert N.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def brute_links(rows, threshold=0.98):
+    """Links and components of (id, vector, label) rows, in double."""
+    units = []
+    for i, v, label in rows:
+        m = np.array(v, float)
+        m = m / np.abs(m).max()
+        units.append((i, m / np.linalg.norm(m), label))
+    u, links = Union([i for i, *_ in units]), [0] * len(units)
+    for k, (i, a, x) in enumerate(units):
+        for j, (other, b, y) in enumerate(units[:k]):
+            if x == y and len(a) == len(b) and a @ b >= threshold:
+                links[k] += 1
+                links[j] += 1
+                u.join(i, other)
+    return sorted((i, n, u.find(i)) for (i, *_), n in zip(units, links))
+
+
+def test_embeddings_in_double_and_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    a, b = rng.standard_normal(8), rng.standard_normal(8)
+    rows = [(1, [1e39, 0.0], 0), (2, [1e39, 0.0], 0), (3, [1.0, 0.0], 0), (4, [1e200, 1e199], 0), (5, [1e-200, 0.0], 0)]
+    rows += [(10, a.tolist(), 1), (11, b.tolist(), 1), (12, (a + 1e-3).tolist(), 1), (13, (b * 3).tolist(), 1), (10, b.tolist(), 1), (14, (a * 2).tolist(), 1), (10, a.tolist(), 1)]
+    got = N.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute_links(rows)
+
+
+@pytest.mark.parametrize("audits", [1, 3])
+def test_embeddings_audits(spark, monkeypatch, audits):
+    """Audits that draw too few, or fail, lead to further draws and orders, and in the end to the whole label."""
+    for name, value in {"ORDERS": 1, "NEXT": 1, "MAX_ROUNDS": 1, "AUDIT": 30, "MORE": 2, "AUDITS": audits, "ENOUGH": 5, "SIDE": 100}.items():
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(21)
+    vectors = [rng.standard_normal(32) for _ in range(150)]
+    vectors += [v + 0.1 * rng.standard_normal(32) for v in vectors[:60]]
+    rows = [(i, [float(np.float32(x)) for x in v], i % 2) for i, v in enumerate(vectors)]
+    got = N.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute_links(rows)
+
+
+def test_embeddings_dense_groups_with_a_bridge(spark, monkeypatch):
+    """Lists are far shorter than the groups, and one vector links two of them."""
+    monkeypatch.setattr(N, "K", 3)
+    monkeypatch.setattr(N, "MOST", 8)
+    monkeypatch.setattr(N, "FAR", 3)
+    rng = np.random.default_rng(31)
+    base = rng.standard_normal(64)
+    base /= np.linalg.norm(base)
+    side = rng.standard_normal(64)
+    side -= (side @ base) * base
+    side /= np.linalg.norm(side)
+    at = lambda angle: np.cos(angle) * base + np.sin(angle) * side
+    step = 0.9 * np.arccos(0.98)
+    vectors = [at(0) + 0.004 * rng.standard_normal(64) for _ in range(120)] + [at(step)] + [at(2 * step) + 0.004 * rng.standard_normal(64) for _ in range(120)]
+    rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(vectors)]
+    got = N.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute_links(rows)
+
+
 def test_embeddings_isolated_pairs(spark, monkeypatch):
     """Rounds run out in a search too weak for isolated pairs, beside a group that has nearly all links; another label has no links."""
     monkeypatch.setattr(N, "ORDERS", 1)
@@ -333,6 +436,13 @@ def test_archive_pages(spark, version):
     assert A.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_record_id_expression(spark):
+    rows = [("arc-000001", 12, "http://h/é a", "ab" * 32), ("x", 0, "", "0"), ("y", 1 << 40, "u#row=~", "ff")]
+    df = spark.createDataFrame(rows, "name string, offset long, url string, digest string")
+    got = df.select("offset", A.record_id_column(*(F.col(c) for c in df.columns)).alias("id")).collect()
+    assert {r["offset"]: r["id"] for r in got} == {r[1]: A.record_id(*r) for r in rows}
+
+
 def test_archive_null_id(spark):
     got = A.archive_pages(spark.createDataFrame([(None, "u", "q" * 200), (3, "v", "q" * 200)], "page_id long, url string, html string")).collect()
     assert sorted([(r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in got]) == [(0, "revisit", 3), (3, "response", None)]

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from gridlake.llm import quality as Q
@@ -58,7 +59,7 @@ def test_pipeline(spark, folder):
     for i in sets:
         for j in sets:
             k = len(sets[i] & sets[j])
-            if i < j and k and 100 * k >= 85 * (len(sets[i]) + len(sets[j]) - k):
+            if i < j and k and 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
                 u.join(i, j)
     docs = [(i, t) for i, t in docs if u.find(i) == i]
     cut = removed(docs)
@@ -100,3 +101,29 @@ def test_near_duplicates_from_80_percent(spark):
     assert 80 <= 100 * len(a & b) / len(a | b) < 85
     got = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert [r["doc_id"] for r in got] == [1]
+
+
+def test_clashing_columns_are_kept(spark, folder):
+    path, rows = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    more = {"score": 0.123, "Predicted": 7, "_": "under", "_others": "o", "starts": 3, "b": "b", "_key": 1, "n_removed": "n"}
+    for name, value in more.items():
+        docs = docs.withColumn(name, F.lit(value))
+    docs = docs.limit(60)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert {c: r[c] for c in more} == more, name
+    assert P.packing(spark, docs, path).count() >= 60
+
+
+def test_empty_documents(spark, folder, tmp_path):
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").filter("false")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns and out.count() == 0, name
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{path}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0

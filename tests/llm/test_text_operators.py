@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ from gridlake.llm import quality as Q
 from gridlake.llm.bpe import WordBpe, bpe_roundtrip
 from gridlake.llm.chat_format import chat_report, format_chats, parse_chats
 from gridlake.llm.line_dedup import boilerplate_lines, line_dedup
+from gridlake.llm.minhash import _mix, word_hashes
 from gridlake.llm.packing import ByteBpeEncoder, OpenBins, best_fit_decreasing, best_fit_pack, pack, tokenise
 from gridlake.llm.queries import tokenizer_path
 
@@ -52,7 +54,7 @@ def test_one_digest_with_several_contents(spark):
     rows = [(1, 2, bytearray(b"a")), (1, 2, bytearray(b"b")), (3, 4, bytearray(b"c")), (3, 4, bytearray(b"c"))]
     got = E.block_names(spark.createDataFrame(rows, "h1 long, h2 long, block binary")).collect()
     assert len({r["name"] for r in got}) == 3
-    assert {r["content"] and bytes(r["content"]) for r in got} == {b"a", b"b", None}
+    assert {bytes(r["block"]) for r in got} == {b"a", b"b", b"c"}
 
 
 def test_colliding_digests_are_settled_by_content(spark, monkeypatch):
@@ -281,3 +283,80 @@ def test_risk_is_not_negative():
     assert 0.65 < prior < 0.85  # 0.75
     p, n = Q.score_features(pos, model), Q.score_features(neg, model)
     assert np.mean([(p > x).mean() for x in n]) > 0.97 and (p > 0.5).mean() > 0.9
+
+
+def plain_features(t):
+    """The features by their definitions, byte by byte."""
+    n, out = len(t), [0.0] * Q.WIDTH
+    if not n:
+        return out
+    kind = [int(Q.CLASSES[b]) for b in t]
+    for a, b in zip(kind, kind[1:]):
+        out[a * Q.N + b] += 1 / (n - 1)
+    words = t.split()
+    out[Q.N**2 : Q.PLAIN] = [len(zlib.compress(t, 1)) / (n + 32), np.log1p(n) / 12, sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words)), len(set(words)) / max(1, len(words))]
+    hashes = [int(word_hashes(np.frombuffer(w, np.uint8))[0][0]) for w in re.findall(rb"[^\x20\x09-\x0D]+", t)]
+    for h in hashes:
+        out[Q.PLAIN + h % Q.WORDS] += 1 / len(hashes)
+    for k in range(n - 2):
+        h = int(_mix(np.array([t[k] << 16 | t[k + 1] << 8 | t[k + 2]], np.uint64))[0])
+        out[Q.PLAIN + Q.WORDS + h % Q.GRAMS] += 1 / (n - 2)
+    root = lambda x: [v**0.5 for v in x]
+    return root(out[: Q.N**2]) + out[Q.N**2 : Q.PLAIN] + root(out[Q.PLAIN :])
+
+
+def test_quality_scores_by_definition(spark):
+    """Scores are the logistic function of a weighted sum of the features, recomputed here number by number."""
+    rng = random.Random(3)
+    texts = ["", "a", "ab", "Ab\tCd ab ab\x1c x", "Größe 12 {x} " * 9, _prose(rng, 0), _prose(rng, 4), "\U0001f642" * 5, None]
+    for t in texts:
+        b = (t or "").encode()
+        assert np.allclose(Q.features([b])[0], plain_features(b), atol=1e-6)
+    model = np.random.default_rng(1).normal(size=3 * Q.WIDTH + 1)
+    model[2 * Q.WIDTH + 1 :] = abs(model[2 * Q.WIDTH + 1 :]) + 0.5
+    w, mean, scale = model[: Q.WIDTH + 1], model[Q.WIDTH + 1 : 2 * Q.WIDTH + 1], model[2 * Q.WIDTH + 1 :]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in Q.score(df, model).collect():
+        x = plain_features((r["text"] or "").encode())
+        z = w[-1] + sum(a * min(8, max(-8, (v - m) / s)) for a, v, m, s in zip(w, x, mean, scale))
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-4 and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_quality_risk_gradient():
+    """The fitted weights lower the non-negative risk as computed here, and a known prior is met."""
+    rng = np.random.default_rng(5)
+    pos, neg = rng.normal(1, 1, (400, 6)).astype(np.float32), rng.normal(-1, 1, (700, 6)).astype(np.float32)
+    unl = np.vstack([rng.normal(1, 1, (300, 6)).astype(np.float32), neg])
+    model, prior = Q.fit_pu(pos, unl)
+    assert 0.2 < prior < 0.4
+
+    def risk(model):
+        s = lambda x: -np.log(Q.score_features(x, model) + 1e-12).mean()
+        t = lambda x: -np.log(1 - Q.score_features(x, model) + 1e-12).mean()
+        return prior * s(pos) + max(0.0, t(unl) - prior * t(pos))
+
+    flat = np.concatenate([np.zeros(7), model[7:]])
+    assert risk(model) < 0.5 * risk(flat)
+    assert (Q.score_features(pos, model) > 0.5).mean() > 0.95 and (Q.score_features(neg, model) < 0.5).mean() > 0.95
+
+
+def test_quality_sample_at_any_count(spark, monkeypatch):
+    """The share that is sampled does not vanish at counts beyond any table here, and a sample without texts is an error."""
+    rows = spark.createDataFrame([(i, "text of a document") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1000, 1050)], "doc_id long, quality int")
+    with pytest.raises(ValueError, match="no text found"):
+        Q.fit(rows, labels)
+    assert Q.fit(rows.filter("false"), labels) is None
+    for n in (10**4, 10**10, 10**15):
+        assert abs((1 << 62) * min(Q.MAX_UNLABELLED, n) // n * n / (1 << 62) / min(Q.MAX_UNLABELLED, n) - 1) < 1e-3
+
+
+def test_chat_of_many_turns(spark):
+    """Sums carried in slices, and blocks as slices of the turns, beyond one slice."""
+    rng = random.Random(8)
+    rows = [(c, k, rng.choice(["user", "assistant", "assistant", "tool<"]), "t" * rng.randrange(5) + rng.choice(["", "<&", "é"])) for c in range(3) for k in range([1, 64, 700][c])]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in parse_chats(format_chats(turns)).collect():
+        mine = [(role, text) for c, _, role, text in rows if c == r["conv_id"]]
+        assert [(t["role"], t["text"]) for t in r["turns"]] == mine
+        assert r["loss_texts"] == [text for role, text in mine if role == "assistant"]
