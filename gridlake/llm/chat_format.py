@@ -39,6 +39,18 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("&#10;"), F.lit("\n")))
 
 
+def running(lengths: Column) -> Column:
+    """For each of ``lengths`` (longs) the sum of those before it. Sums are carried in slices, as growing one array number by number copies it each time."""
+    n = 64
+    zero = F.lit(0).cast("long")
+    slices = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(n)), lambda at: F.slice(lengths, at + 1, n))
+    grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    totals = F.transform(slices, lambda s: F.aggregate(s, zero, lambda a, x: a + x))
+    before = F.aggregate(totals, F.array(zero), grow)
+    each = F.zip_with(slices, F.slice(before, 1, F.size(totals)), lambda s, b: F.slice(F.aggregate(s, F.array(b), grow), 1, F.size(s)))
+    return F.flatten(each)
+
+
 def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """One row per conversation: ``conv_id, formatted, loss_spans``.
 
@@ -50,18 +62,15 @@ def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
-    escaped = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("text")))
-    none = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    # A block begins where the role changes; it is a slice of the turns, so blocks cost their turns once.
+    role = lambda i: F.get("turns", i)["role"]
+    begins = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
 
-    def merge(done: Column, t: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        same = (F.size(done) > 0) & F.coalesce(F.get(done, F.size(done) - 1)["role"] == t["role"], F.lit(False))
-        begun = F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts")))
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, begun))
+    def block(at: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("begins", k + 1), F.size("turns"))
+        return F.struct(role(at).alias("role"), F.transform(F.slice("turns", at + 1, end - at), lambda t: escape(t["text"])).alias("texts"))
 
-    # Turns and blocks alternate between few roles, so blocks hold about one turn each.
-    blocks = gathered.select("conv_id", F.aggregate(escaped, none, merge).alias("blocks"))
+    blocks = gathered.withColumn("begins", begins).select("conv_id", F.transform("begins", block).alias("blocks"))
     texts = blocks.select(
         "conv_id",
         "blocks",
@@ -71,20 +80,15 @@ def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame
         ).alias("parts"),
     )
     # Start of each block, then of each text in it, by running sums of lengths.
-    zero = F.array(F.lit(0).cast("long"))
-    starts = F.aggregate(
-        "parts", zero, lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(p)))
-    )
+    starts = running(F.transform("parts", lambda p: F.char_length(p).cast("long")))
 
     def spans(b: Column, i: Column, at: Column) -> Column:
         first = F.get(at, i) + len(START) + F.char_length(escape_role(b["role"])) + 1
-        empty = F.struct(first.cast("long").alias("next"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("out"))
-        step = lambda acc, t: F.struct(
-            (acc["next"] + F.char_length(t) + len(SEP)).cast("long").alias("next"),
-            F.concat(acc["out"], F.array(F.struct(acc["next"].alias("start"), F.char_length(t).cast("long").alias("length")))).alias("out"),
-        )
+        steps = F.transform(b["texts"], lambda t: (F.char_length(t) + len(SEP)).cast("long"))
+        at_each = F.arrays_zip(running(steps).alias("before"), b["texts"].alias("text"))
+        found = F.transform(at_each, lambda z: F.struct((first + z["before"]).cast("long").alias("start"), F.char_length(z["text"]).cast("long").alias("length")))
         nothing = F.array().cast("array<struct<start:bigint,length:bigint>>")
-        return F.when(b["role"] == F.lit(trained_role), F.aggregate(b["texts"], empty, step, lambda acc: acc["out"])).otherwise(nothing)
+        return F.when(b["role"] == F.lit(trained_role), found).otherwise(nothing)
 
     return (
         texts.withColumn("starts", starts)

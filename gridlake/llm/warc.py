@@ -25,10 +25,10 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir
+from .common import checkpointed, qualified, shared_dir
 from .packing import slices
 
 MIN_REVISIT = 100
@@ -112,6 +112,15 @@ def record_id(name: str, offset: int, url: str, digest: str) -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {offset} {url} {digest}')}"
 
 
+def record_id_column(name: Column, offset: Column, url: Column, digest: Column) -> Column:
+    """``record_id`` as an expression: a version 5 UUID is a SHA-1 with two fields set."""
+    seed = F.concat(F.unhex(F.lit(uuid.NAMESPACE_URL.hex)), F.encode(F.concat_ws(" ", name, offset.cast("string"), url, digest), "UTF-8"))
+    h = F.sha1(seed)
+    part = lambda at, n: F.substring(h, at, n)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(F.lit("urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
 def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     head = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", str(len(block)))])
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -214,10 +223,9 @@ def convert_arcs(records: DataFrame, folder: str, order: str = "key", min_revisi
     The response of a group of equal payloads is its least ``order``. What a file needs to know, the response's id for each shared digest in it, comes with its
     path as a map; it is as large as the file's own list of records at most.
     """
-    rid = F.udf(record_id, "string")  # one call a shared payload, not a record
     big = records.filter(F.col("n_bytes") >= min_revisit)
     groups = big.groupBy("digest").agg(F.min(F.struct(order, "name", "offset", "url")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    first = groups.select("digest", rid("f.name", "f.offset", "f.url", "digest").alias("first"))
+    first = groups.select("digest", record_id_column(F.col("f.name"), F.col("f.offset"), F.col("f.url"), F.col("digest")).alias("first"))
     shared = big.select("path", "digest").distinct().join(first, "digest").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("digest", "first"))).alias("first"))
     named = records.select("path", "name").distinct()
     files = _a_task_each(named.join(shared, "path", "left"), named.count())
@@ -272,7 +280,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, version: int = 2,
     Payload figures of a revisit are those of the response it refers to, and the stated digest is checked against them. A null html
     is empty. Repeated page ids each have a record; the least (page_id, url) is the response, a null id comes last. An empty table gives an empty result.
     """
-    folder = folder or f"{shared_dir(pages.sparkSession)}/gridlake/{uuid.uuid4().hex}"
+    folder = qualified(pages.sparkSession, folder or f"{shared_dir(pages.sparkSession)}/gridlake/{uuid.uuid4().hex}")
     key = F.when(F.col("page_id").isNull(), "~").otherwise(F.format_string("%020d", F.col("page_id").cast("long") + F.lit(1 << 62)))
     rows = pages.select(key.alias("key"), F.col("url").cast("string").alias("url"), F.col("html").alias("html"))
     records = checkpointed(write_arcs(rows, f"{folder}/arc", version))
