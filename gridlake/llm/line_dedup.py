@@ -40,14 +40,21 @@ def _hashes(text: str, min_chars: int) -> Column:
     return F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.char_length(F.trim(x)) >= min_chars), _hash))
 
 
+def _places(docs: DataFrame, of: Column, text: str, min_chars: int) -> DataFrame:
+    """``of, a, b`` of each line hash of a text, once.
+
+    An inner explode would have the planner hash all lines twice, once to filter texts that have some.
+    """
+    every = docs.select(of, F.explode_outer(_hashes(text, min_chars)).alias("h"))
+    return every.filter("h is not null").select(every.columns[0], F.col("h.a").alias("a"), F.col("h.b").alias("b"))
+
+
 def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, text: str = "text", site: str = "source") -> DataFrame:
     """``h, n_sites`` of each line (its hash, blanks at the ends trimmed) of at least ``min_chars`` characters on at least ``min_sites`` sites.
 
     A null site is no site. ``n_sites`` is exact for lines near the threshold and an estimate for others.
     """
-    rows = docs.filter(F.col(site).isNotNull()).select(F.col(site).alias("site"), F.explode(_hashes(text, min_chars)).alias("h")).select(
-        "site", F.col("h.a").alias("a"), F.col("h.b").alias("b")
-    )
+    rows = _places(docs.filter(F.col(site).isNotNull()), F.col(site).alias("site"), text, min_chars)
     seen = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("site").alias("s0"), F.max("site").alias("s1"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
     # A line needs as many rows as sites, and two sites differ.
     often = seen.filter((F.col("n") >= min_sites) & ((F.col("s0") != F.col("s1")) | F.lit(min_sites <= 1)))
@@ -73,7 +80,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN
     key, bad, n_lines, n_removed = fresh(docs, "_key", "_bad", "n_lines", "n_removed")
     digest = F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(5), F.col(text)).alias("y"))
     found = checkpointed(boilerplate_lines(docs, min_sites, min_chars, text, site).select(F.col("h.a").alias("a"), F.col("h.b").alias("b")))
-    places = docs.filter(F.col(text).isNotNull()).select(digest.alias("k"), F.explode(_hashes(text, min_chars)).alias("h")).select("k", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
+    places = _places(docs.filter(F.col(text).isNotNull()), digest.alias("k"), text, min_chars)
     # Copies of a text report each line once a task.
     hit = grouped(places.join(found, ["a", "b"]), ["k"], F.collect_set(F.struct("a", "b")).alias(bad)).withColumnRenamed("k", key)
     marked = docs.withColumn(key, digest).join(hit, key, "left")
