@@ -2,19 +2,23 @@
 
 Vectors are compared within a label. Identical vectors are one class first. Random sign projections order the vectors of a label, and neighbours in these orders
 give each vector its first neighbour list. Then NN-descent: around every vector its neighbours, forward and reverse, are
-compared with each other, and each vector keeps the best it has met. A list keeps ``K`` entries and, beyond them, every neighbour at
-the threshold or above: a list that saturates grows instead of dropping a link. Rounds go on until few vectors get new links; then
-an audit compares some vectors of every label with the whole label, in blocks, and judges the recall of each vector, those with few links apart from
-those with many. A failed audit adds new orders. A label stays with what the search found only if its audit passed on enough vectors with few links;
-any other, be it that rounds ran out or that too few of its vectors have links to judge by, is compared exactly, in the same blocks.
-
-Plan: a long list around a vector is cut into blocks of ``BLOCK`` by a hash, so no neighbourhood has to fit a task; a pair of a dense group meets around many
-vectors, and blocks differ by round, so pairs that one round keeps apart meet in another. Only pairs with a member that the last round brought are compared. Vectors travel as float32 bytes and cosines are computed in double.
+compared with each other, and each vector keeps the ``K`` best it has met. A list whose entries are all at the threshold or above is saturated and
+grows, twofold a round, up to ``MOST``. A list at ``MOST`` keeps its ``FAR`` most distant links beside the nearest: those lead out of a dense group.
+
+The links found make components. An audit compares some vectors of every label with the whole label, in blocks, and judges by vector, those with few links apart
+from those with many, how many of its true links lie in its own component. A failed audit brings new orders and further rounds; one that saw too few vectors with
+links draws more of them. A label that no audit passed in the end is compared whole, in the same blocks. Links that audits find between components are kept.
+
+Which vectors link, and how many, is then settled in each component, again in blocks that give counts and not pairs: a dense group of any size costs its vectors
+a row a block, and no pair of it is ever a row.
+
+Plan: lists, reverse lists and comparisons are bounded for each vector, and cut before the shuffle where a vector is everyone's neighbour. Vectors travel as bytes of their own
+precision and cosines are computed in double.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,78 +26,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import checkpointed, staged
+from .common import checkpointed, discard, grouped, staged
 from .components import components
 
 THRESHOLD = 0.98
-K = 6
-#: Lists up to ``WHOLE`` members are compared whole, longer ones in blocks.
-WHOLE, BLOCK = 32, 6
+#: Entries of a list, and of one that saturates again and again.
+K, MOST = 6, 48
+#: Links of the ``MOST`` that are the farthest and not the nearest.
+FAR = 8
+#: Entries of lists and reverse lists around a vector that a round compares.
+AROUND = 32
 ORDERS = 6
 BITS = 10
 NEXT = 4
-MAX_ROUNDS = 12
-#: A round that brings new links to fewer vectors than this share is the last before an audit.
-STILL = 0.0005
-#: Vectors of a label that an audit draws, about, and how many with links, but fewer than ``K``, it has to find among them.
-AUDIT, ENOUGH = 1000, 50
+MAX_ROUNDS = 6
+#: A round that brings fewer vectors than this share a first link is the last before an audit.
+STILL = 0.001
+#: Vectors of a label that the first audit draws, about, how many times as many each further one does, and how many audits there are.
+AUDIT, MORE, AUDITS = 1000, 8, 3
+#: How many vectors with links, but fewer than ``K``, an audit has to find for a verdict.
+ENOUGH = 50
 RECALL = 0.999
-#: Vectors of a label that a block of a comparison with the whole label holds, about.
-SIDE = 2048
-
+#: Vectors that a side of a block of comparisons holds, about, and into how many sides a component is dealt at least, if each gets ``LEAST`` vectors.
+SIDE, SPREAD, LEAST = 2048, 8, 64
 
-def _signs(rows: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A bucket of ``BITS`` signs, and a further projection to sort by."""
-    plane = np.random.default_rng(seed).standard_normal((rows.shape[1], BITS + 1))
-    z = rows @ plane
-    return (z[:, :BITS] > 0) @ (1 << np.arange(BITS)), z[:, BITS] / np.linalg.norm(rows, axis=1)
 
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of float32 bytes as a matrix of doubles."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(len(column), -1).astype(np.float64)
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """Rows of ``kind`` numbers in bytes as unit vectors in double."""
+    m = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
+    m = m / np.abs(m).max(axis=1)[:, None]  # so that no square overflows
+    return m / np.sqrt((m * m).sum(axis=1))[:, None]
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.sqrt((m * m).sum(axis=1))[:, None]
+def _kind(vectors: DataFrame, embedding: str) -> str:
+    """Floats travel as such; anything else as doubles."""
+    return "<f4" if dict(vectors.dtypes)[embedding] == "array<float>" else "<f8"
 
 
-def vector_classes(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
-    """Comparable vectors as ``vec, space, v``: those of a label (and dimension) that are finite and not zero."""
+def comparable(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
+    """All rows as ``vec, space, e``; ``space`` (a label and dimension) is null for what links with nothing."""
     x = F.col("e")
-    fine = F.coalesce(
-        (F.size(x) > 0) & F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))) & F.exists(x, lambda c: c != 0), F.lit(False)
-    )
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec"), F.col(label).alias("label"), F.col(embedding).cast("array<float>").alias("e"))
-    return rows.filter(F.col("vec").isNotNull() & F.col("label").isNotNull() & fine).select("vec", F.xxhash64(F.col("label").cast("string"), F.size("e")).alias("space"), "e")
+    fine = (F.size(x) > 0) & F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))) & F.exists(x, lambda c: c != 0)
+    element = "float" if _kind(vectors, embedding) == "<f4" else "double"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec"), F.col(label).alias("label"), F.col(embedding).cast(f"array<{element}>").alias("e"))
+    space = F.when(F.col("vec").isNotNull() & F.col("label").isNotNull() & F.coalesce(fine, F.lit(False)), F.xxhash64(F.col("label").cast("string"), F.size("e")))
+    return rows.select("vec", space.alias("space"), "e")
 
 
-def _packed(rows: DataFrame) -> DataFrame:
+def _packed(rows: DataFrame, kind: str) -> DataFrame:
+    """``v``: the bytes of ``e``."""
+    others = [f for f in rows.schema if f.name != "e"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = [np.asarray(x, "<f4").tobytes() for x in b.column("e").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("vec"), b.column("space"), b.column("size"), pa.array(v, pa.binary())], ["vec", "space", "size", "v"])
+            v = [np.asarray(x, kind).tobytes() for x in b.column("e").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in others), pa.array(v, pa.binary())], [*(f.name for f in others), "v"])
+
+    return rows.mapInArrow(run, rows.drop("e").schema.add("v", "binary"))
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str], each: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``each`` of a batch of whole groups and where they begin and end; rows are sorted by ``keys``, and a group can go on in the next batch."""
+    held = None
+    for b in batches:
+        now = b if held is None else pa.concat_batches([held, b])
+        columns = [now.column(k).to_numpy() for k in keys]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        end = int(cuts[-1]) if len(cuts) else 0
+        if end:
+            yield from each(now.slice(0, end), np.concatenate([[0], cuts]))
+        held = now.slice(end)
+    if held is not None and held.num_rows:
+        yield from each(held, np.array([0, held.num_rows]))
 
-    return rows.mapInArrow(run, "vec long, space long, size long, v binary")
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def _by_dimension(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    size = np.diff(batch.column("v").offsets_numpy()) if hasattr(batch.column("v"), "offsets_numpy") else np.array([len(x.as_py()) for x in batch.column("v")])
-    for n in np.unique(size):
-        yield batch.filter(pa.array(size == n))
 
+# 1. The neighbour graph
 
-def first_lists(reps: DataFrame, seed: int) -> DataFrame:
+
+def first_lists(reps: DataFrame, kind: str, seed: int) -> DataFrame:
     """``u, v, sim`` of vectors close in random orders of their label."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _by_dimension(whole):
-                m = _matrix(b.column("v"))
+            size = np.array([len(x) for x in whole.column("v").to_pylist()])
+            for n in np.unique(size):
+                b = whole.filter(pa.array(size == n))
+                m = _matrix(b.column("v"), kind)
                 for t in range(ORDERS):
-                    bucket, at = _signs(m, seed * 1000 + t)
+                    z = m @ np.random.default_rng(seed * 1000 + t).standard_normal((m.shape[1], BITS + 1))
+                    bucket = (z[:, :BITS] > 0) @ (1 << np.arange(BITS))
                     yield pa.RecordBatch.from_arrays(
-                        [b.column("vec"), b.column("space"), pa.array(np.full(len(m), t, np.int32)), pa.array(bucket.astype(np.int64)), pa.array(at), b.column("v")],
+                        [b.column("vec"), b.column("space"), pa.array(np.full(len(m), t, np.int32)), pa.array(bucket.astype(np.int64)), pa.array(z[:, BITS]), b.column("v")],
                         ["vec", "space", "t", "bucket", "at", "v"],
                     )
 
@@ -103,148 +130,184 @@ def first_lists(reps: DataFrame, seed: int) -> DataFrame:
             now = b if last is None else pa.concat_batches([last, b])
             ids, space, t = (now.column(c).to_numpy() for c in ("vec", "space", "t"))
             size = np.array([len(x) for x in now.column("v").to_pylist()])
-            out = []
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             for n in np.unique(size):  # one label can hold vectors of several lengths, in spaces of their own
                 k = np.flatnonzero(size == n)
-                m = _unit(_matrix(now.column("v").take(pa.array(k))))
+                m = _matrix(now.column("v").take(pa.array(k)), kind)
                 for step in range(1, NEXT + 1):
                     a, c = k[:-step], k[step:]
-                    sim = (m[:-step] * m[step:]).sum(axis=1)
                     ok = (space[a] == space[c]) & (t[a] == t[c]) & (ids[a] != ids[c])
-                    out.append((ids[a][ok], ids[c][ok], sim[ok]))
-            u, v, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                    out.append((ids[a][ok], ids[c][ok], (m[:-step] * m[step:]).sum(axis=1)[ok]))
+            u, v, s = (np.concatenate(x) for x in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], ["u", "v", "sim"])
             last = now.slice(max(0, now.num_rows - NEXT))
 
     rows = reps.select("vec", "space", "v").mapInArrow(keys, "vec long, space long, t int, bucket long, at double, v binary")
-    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "space", "t", "bucket", "at").sortWithinPartitions("space", "t", "bucket", "at", "vec")
+    dealt = rows.repartitionByRange(_partitions(reps), "space", "t", "bucket", "at").sortWithinPartitions("space", "t", "bucket", "at", "vec")
     return dealt.mapInArrow(link, "u long, v long, sim double")
 
 
-def keep_best(edges: DataFrame, threshold: float) -> DataFrame:
-    """Each vector's ``K`` best of ``edges`` (in either direction) and all at the threshold or above; ``old`` is 0 for what was there before."""
+def keep_best(edges: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Each vector's ``K`` best of ``edges`` (in either direction) and, at the threshold or above, ``most``, with their ``rank``.
+
+    ``old`` is 0 for what was there before. Lists at ``MOST`` come with the farthest links too, which can repeat some of the nearest.
+    """
     pairs = edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("sim").alias("sim"), F.min("old").alias("old"))
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "old"))
-    rank = F.row_number().over(W.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return both.withColumn("rank", rank).filter((F.col("rank") <= K) | (F.col("sim") >= threshold)).drop("rank")
-
-
-def _local_join(lists: DataFrame, reps: DataFrame, seed: int, threshold: float) -> DataFrame:
-    """Pairs of members around each vector that are news to one of them, each pair in one direction."""
-    floors = lists.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low")).select(F.col("u").alias("x"), F.when(F.col("n") >= K, F.col("low")).otherwise(-2.0).alias("floor"))
+    # Nothing beyond the first ``most`` of a vector is shuffled, however many lists it is in.
+    linked = F.col("sim") >= threshold
+    near = F.row_number().over(W.partitionBy("u").orderBy(F.desc("sim"), "v"))
+    best = both.withColumn("rank", near).filter(F.col("rank") <= most).filter((F.col("rank") <= K) | linked)
+    if most < MOST:
+        return best
+    distant = F.row_number().over(W.partitionBy("u").orderBy("sim", "v"))
+    return best.unionByName(both.filter(linked).withColumn("rank", distant).filter(F.col("rank") <= FAR).withColumn("rank", F.col("rank") + MOST))
+
+
+def local_join(lists: DataFrame, reps: DataFrame, kind: str, seed: int, threshold: float, most: int) -> DataFrame:
+    """``u, v, sim`` of members around each vector: pairs that are news to one of them."""
     around = lists.select(F.col("u").alias("c"), F.col("v").alias("x"), "old").unionByName(lists.select(F.col("v").alias("c"), F.col("u").alias("x"), "old"))
-    around = around.groupBy("c", "x").agg(F.max("old").alias("fresh"))
-    count = F.count("*")
-    many = around.groupBy("c").agg(F.when(count <= WHOLE, 1).otherwise(F.ceil(count / BLOCK)).alias("blocks"), F.max("fresh").alias("some")).filter("some = 1").drop("some")
-    members = around.join(many, "c").select("c", "x", "fresh", F.pmod(F.xxhash64(F.lit(seed), "c", "x"), F.col("blocks")).alias("block"))
-    loaded = members.join(reps.select(F.col("vec").alias("x"), "v"), "x").join(floors, "x", "left").select("c", "block", "x", "fresh", "v", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(b: pa.RecordBatch) -> pa.RecordBatch:
-            c, block, x, fresh, floor = (b.column(k).to_numpy() for k in ("c", "block", "x", "fresh", "floor"))
-            raw = b.column("v").to_pylist()
-            cuts = np.flatnonzero((c[1:] != c[:-1]) | (block[1:] != block[:-1])) + 1
-            out = []
-            for i, j in zip([0, *cuts], [*cuts, len(c)]):
-                if j - i > 1 and fresh[i:j].any():
-                    m = _unit(np.frombuffer(b"".join(raw[i:j]), "<f4").reshape(j - i, -1).astype(np.float64))
-                    s = np.clip(m @ m.T, -1, 1)
-                    f, new = floor[i:j], fresh[i:j] > 0
-                    news = ((s > f[:, None]) | (s > f[None, :]) | (s >= threshold)) & (new[:, None] | new[None, :])
-                    p, q = np.nonzero(np.triu(news, 1))
-                    out.append((x[i:j][p], x[i:j][q], s[p, q]))
-            u, v, s = (np.concatenate(k) for k in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], ["u", "v", "sim"])
-
-        held = None
-        for b in batches:
-            now = b if held is None else pa.concat_batches([held, b])
-            c, block = now.column("c").to_numpy(), now.column("block").to_numpy()
-            edge = np.flatnonzero((c[1:] != c[:-1]) | (block[1:] != block[:-1]))
-            end = int(edge[-1]) + 1 if len(edge) else 0  # the last block may go on in the next batch
-            if end:
-                yield pairs(now.slice(0, end))
-            held = now.slice(end)
-        if held is not None and held.num_rows:
-            yield pairs(held)
-
-    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return loaded.repartition(n, "c", "block").sortWithinPartitions("c", "block", "x").mapInArrow(compare, "u long, v long, sim double")
-
-
-def true_links(some: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """All links ``u, v`` at the threshold or above of the vectors ``some`` with those of ``reps`` in their label, by comparison in blocks."""
+    rank = F.row_number().over(W.partitionBy("c").orderBy(F.desc("old"), F.xxhash64(F.lit(seed), "c", "x")))
+    members = around.withColumn("rank", rank).filter(F.col("rank") <= AROUND).select("c", "x", F.col("old").alias("fresh"))
+    # What is under a vector's floor cannot enter its list.
+    own = lists.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low"))
+    open_end = float(np.nextafter(threshold, -1))
+    floor = F.when(F.col("n") < K, -2.0).when(F.col("low") < threshold, F.col("low")).when(F.col("n") < most, open_end).otherwise(F.col("low"))
+    info = reps.select(F.col("vec").alias("x"), "v").join(own.select(F.col("u").alias("x"), floor.alias("floor")), "x")
+    loaded = members.join(checkpointed(info), "x").select("c", "x", "fresh", "v", "floor")
+
+    def compare(batch: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, fresh, floor = (batch.column(k).to_numpy() for k in ("x", "fresh", "floor"))
+        raw = batch.column("v")
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            new = fresh[i:j] > 0
+            if j - i > 1 and new.any():
+                m = _matrix(raw.slice(i, j - i), kind)
+                s = np.clip(m @ m.T, -1, 1)
+                f, here = floor[i:j], x[i:j]
+                news = ((s > f[:, None]) | (s > f[None, :])) & (new[:, None] | new[None, :]) & (here[:, None] != here[None, :])
+                p, q = np.nonzero(np.triu(news, 1))  # a neighbour both ways comes twice
+                out.append((here[p], here[q], s[p, q]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k)) for k in zip(*out)], ["u", "v", "sim"])
+
+    dealt = loaded.repartition(_partitions(reps), "c").sortWithinPartitions("c", "x")
+    return dealt.mapInArrow(lambda batches: _by_key(batches, ["c"], compare), "u long, v long, sim double")
+
+
+def descend(reps: DataFrame, kind: str, seed: int, threshold: float, lists: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lists (those given and those of new orders) after rounds of NN-descent, and the links ``u, v`` in them."""
+    n = reps.count()
+    first = first_lists(reps, kind, seed).withColumn("old", F.lit(1))
+    first = first if lists is None else lists.withColumn("old", F.lit(0)).drop("rank").unionByName(first)
+    lists, most, linked = checkpointed(keep_best(first, threshold, K)), K, -1
+    for turn in range(MAX_ROUNDS):
+        most = min(2 * most, MOST)
+        news = local_join(lists, reps, kind, seed * 100 + turn, threshold, most).withColumn("old", F.lit(1))
+        held = lists.withColumn("old", F.lit(0)).drop("rank")
+        before, lists = lists, checkpointed(keep_best(held.unionByName(news), threshold, most))
+        discard(before)
+        had, linked = linked, lists.filter((F.col("rank") == 1) & (F.col("sim") >= threshold)).count()
+        if had >= 0 and linked - had <= STILL * n:
+            break
+    links = lists.filter(F.col("sim") >= threshold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return lists, checkpointed(links.distinct())
+
+
+# 2. Comparisons in blocks
+
+
+def compared(left: DataFrame, right: DataFrame, group: str, kind: str, threshold: float, spread: int = 1) -> DataFrame:
+    """``u, part, v, n, weight``: of each vector of ``left``, by the component of what it links with among the vectors of ``right`` in its ``group``, one of
+    them, their number and weight. Blocks of ``SIDE`` vectors meet; each gives counts and no pairs.
+
+    ``left``: ``group, vec, v``; ``right``: ``group, vec, v, part, weight``.
+    """
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("space").agg(F.ceil(F.count("*") / SIDE).alias(name))
+        n = F.count("*")
+        return rows.groupBy(group).agg(F.greatest(F.ceil(n / SIDE), F.least(F.lit(spread).cast("long"), F.ceil(n / LEAST))).alias(name))
 
-    sides = blocks(some, "lefts").join(blocks(reps, "rights"), "space")
+    sides = checkpointed(blocks(left, "lefts").join(blocks(right, "rights"), group))
     own = lambda n: F.pmod(F.xxhash64(F.lit(23), "vec"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = some.join(sides, "space").select("space", own("lefts").alias("i"), every("rights").alias("j"), F.lit(0).alias("side"), "vec", "v")
-    right = reps.join(sides, "space").select("space", every("lefts").alias("i"), own("rights").alias("j"), F.lit(1).alias("side"), "vec", "v")
+    none = F.lit(None).cast("long")
+    a = left.join(sides, group).select(group, own("lefts").alias("i"), every("rights").alias("j"), F.lit(0).alias("side"), "vec", "v", none.alias("part"), none.alias("weight"))
+    b = right.join(sides, group).select(group, every("lefts").alias("i"), own("rights").alias("j"), F.lit(1).alias("side"), "vec", "v", "part", "weight")
 
-    def pairs(b: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        side, ids, raw = b.column("side").to_numpy(), b.column("vec").to_numpy(), b.column("v")
+    def meet(batch: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        side, ids, raw = batch.column("side").to_numpy(), batch.column("vec").to_numpy(), batch.column("v")
         for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             cut = p + int(np.searchsorted(side[p:q], 1))
-            if p < cut < q:
-                u, v = np.nonzero(_unit(_matrix(raw.slice(p, cut - p))) @ _unit(_matrix(raw.slice(cut, q - cut))).T >= threshold)
-                u, v = ids[p:cut][u], ids[cut:q][v]
-                yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            now = b if held is None else pa.concat_batches([held, b])
-            space, i, j = (now.column(k).to_numpy() for k in ("space", "i", "j"))
-            cuts = np.flatnonzero((space[1:] != space[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            end = int(cuts[-1]) if len(cuts) else 0  # the last pair of blocks may go on in the next batch
-            if end:
-                yield from pairs(now.slice(0, end), np.concatenate([[0], cuts]))
-            held = now.slice(end)
-        if held is not None and held.num_rows:
-            yield from pairs(held, np.array([0, held.num_rows]))
-
-    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return left.unionByName(right).repartition(n, "space", "i", "j").sortWithinPartitions("space", "i", "j", "side").mapInArrow(run, "u long, v long")
-
-
-def audit(reps: DataFrame, links: DataFrame, threshold: float, wanted: float) -> DataFrame:
-    """``space, passed, failed`` of the labels in which drawn vectors have links: whether they tell enough and ``links`` has them, and whether some are missing."""
-    share = reps.groupBy("space").agg((F.lit(float(AUDIT)) / F.count("*")).alias("share"))
-    drawn = reps.join(share, "space").filter(F.pmod(F.xxhash64(F.lit("audit"), "vec"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("vec", "space", "v")
-    true = true_links(drawn, reps, threshold).join(links.select("u", "v", F.lit(1).alias("hit")), ["u", "v"], "left")
-    each = true.groupBy("u").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).join(drawn.select(F.col("vec").alias("u"), "space"), "u")
-    kind = each.groupBy("space", (F.col("n") < K).alias("few")).agg(F.count("*").alias("n"), F.avg(F.col("hits") / F.col("n")).alias("recall"))
-    of = kind.groupBy("space").agg(F.min("recall").alias("recall"), F.sum(F.when(F.col("few"), F.col("n")).otherwise(0)).alias("n"))
-    return of.select("space", ((F.col("recall") >= wanted) & (F.col("n") >= ENOUGH)).alias("passed"), (F.col("recall") < wanted).alias("failed"))
-
-
-def near_links(reps: DataFrame, threshold: float = THRESHOLD, wanted: float = RECALL) -> DataFrame:
-    """Links ``u, v`` (both directions) between different classes at ``threshold`` or above."""
-    n = reps.count()
-    lists = checkpointed(keep_best(first_lists(reps, 1).withColumn("old", F.lit(1)), threshold))
-    verdict = None
-    for seed in range(2, 2 + MAX_ROUNDS):
-        news = _local_join(lists, reps, seed, threshold)
-        joined = lists.withColumn("old", F.lit(0)).unionByName(news.withColumn("old", F.lit(1)))
-        lists, verdict = checkpointed(keep_best(joined, threshold)), None
-        fresh = lists.filter((F.col("old") == 1) & (F.col("sim") >= threshold)).agg(F.countDistinct("u")).first()[0]
-        if fresh <= STILL * n:
-            verdict = checkpointed(audit(reps, lists.filter(F.col("sim") >= threshold), threshold, wanted))
-            if verdict.filter("failed").isEmpty():
-                break
-            if seed < 1 + MAX_ROUNDS:
-                more = first_lists(reps, seed).withColumn("old", F.lit(1))
-                lists = checkpointed(keep_best(lists.withColumn("old", F.lit(0)).unionByName(more), threshold))
-    found = lists.filter(F.col("sim") >= threshold).select("u", "v")  # both directions are kept at the threshold
-    if verdict is None:
-        verdict = checkpointed(audit(reps, found, threshold, wanted))
-    rest = reps.join(verdict.filter("passed").select("space"), "space", "left_anti").select("vec", "space", "v")
-    kept = found.join(rest.select(F.col("vec").alias("u")), "u", "left_anti").select("u", "v")
-    return kept.unionByName(true_links(rest, rest, threshold))
+            if not p < cut < q:
+                continue
+            x, y = ids[p:cut], ids[cut:q]
+            part, weight = (batch.column(k).slice(cut, q - cut).to_numpy() for k in ("part", "weight"))
+            near = _matrix(raw.slice(p, cut - p), kind) @ _matrix(raw.slice(cut, q - cut), kind).T >= threshold
+            near &= x[:, None] != y[None, :]
+            u, v = np.nonzero(near)
+            if not len(u):
+                continue
+            # Links come by vector; those of one component become a row.
+            order = np.lexsort((part[v], u))
+            u, v = u[order], v[order]
+            at = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (part[v[1:]] != part[v[:-1]])]))
+            n = np.diff(np.append(at, len(u)))
+            yield pa.RecordBatch.from_arrays([pa.array(k) for k in (x[u[at]], part[v[at]], y[v[at]], n, np.add.reduceat(weight[v], at))], ["u", "part", "v", "n", "weight"])
+
+    dealt = a.unionByName(b).repartition(_partitions(right), group, "i", "j").sortWithinPartitions(group, "i", "j", "side")
+    found = dealt.mapInArrow(lambda batches: _by_key(batches, [group, "i", "j"], meet), "u long, part long, v long, n long, weight long")
+    return found.groupBy("u", "part").agg(F.min("v").alias("v"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+
+
+def parts_of(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """``reps`` with ``part``, the component that ``links`` make of them."""
+    found = components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnsRenamed({"node": "vec", "component": "part"})
+    return checkpointed(reps.join(found, "vec", "left").withColumn("part", F.coalesce("part", "vec")))
+
+
+def audited(reps: DataFrame, draw: int, kind: str, threshold: float, wanted: float) -> tuple[DataFrame, DataFrame]:
+    """``space, verdict`` of each label of ``reps`` by about ``draw`` of its vectors, and the links ``u, v`` between components that it found.
+
+    The verdict is ``passed``, ``failed`` (recall under ``wanted``) or ``few`` (too few vectors with links for either); a label drawn whole has passed, as all it lacked is found.
+    """
+    drawn = reps.join(reps.groupBy("space").agg(F.count("*").alias("size")), "space")
+    drawn = checkpointed(drawn.filter((F.col("size") <= draw) | (F.pmod(F.xxhash64(F.lit("audit"), "vec"), F.lit(1 << 62)) < F.lit(float(draw)) / F.col("size") * float(1 << 62))))
+    true = checkpointed(compared(drawn, reps.withColumn("weight", F.lit(1).cast("long")), "space", kind, threshold))
+    of = drawn.select(F.col("vec").alias("u"), "space", F.col("part").alias("own"))
+    hit = F.sum(F.when(F.col("part") == F.col("own"), F.col("n")).otherwise(0))
+    each = true.join(of, "u").groupBy("space", "u").agg(F.sum("n").alias("n"), hit.alias("hits"))
+    by = each.groupBy("space", (F.col("n") < K).alias("few")).agg(F.count("*").alias("seen"), F.avg(F.col("hits") / F.col("n")).alias("recall"))
+    by = by.groupBy("space").agg(F.min("recall").alias("recall"), F.sum(F.when(F.col("few"), F.col("seen")).otherwise(0)).alias("seen"))
+    verdict = F.when(F.col("size") <= draw, "passed").when(F.col("recall") < wanted, "failed").when(F.coalesce("seen", F.lit(0)) < ENOUGH, "few").otherwise("passed")
+    sizes = reps.groupBy("space").agg(F.count("*").alias("size"))
+    missed = true.join(of, "u").filter("part <> own").select("u", "v")
+    return checkpointed(sizes.join(by, "space", "left").select("space", verdict.alias("verdict"))), missed
+
+
+def near_components(reps: DataFrame, kind: str, threshold: float = THRESHOLD, wanted: float = RECALL) -> DataFrame:
+    """``reps`` (``vec, space, v`` of distinct vectors) with ``part``: the component of links at ``threshold`` or above."""
+    lists, links = descend(reps, kind, 1, threshold)
+    whole, open_ = parts_of(reps, links), reps
+    for attempt in range(AUDITS):
+        left = whole.join(open_.select("vec"), "vec", "left_semi")
+        verdict, missed = audited(left, AUDIT * MORE**attempt, kind, threshold, wanted)
+        links = checkpointed(links.unionByName(missed))
+        open_ = checkpointed(open_.join(verdict.filter("verdict <> 'passed'").select("space"), "space", "left_semi"))
+        if open_.isEmpty():
+            break
+        bad = checkpointed(open_.join(verdict.filter("verdict = 'failed'").select("space"), "space", "left_semi"))
+        if attempt < AUDITS - 1 and not bad.isEmpty():
+            own = lists.join(bad.select(F.col("vec").alias("u")), "u", "left_semi")
+            lists, more = descend(bad, kind, 2 + attempt, threshold, own)
+            links = checkpointed(links.unionByName(more))
+        whole = parts_of(reps, links)
+    if not open_.isEmpty():
+        left = checkpointed(whole.join(open_.select("vec"), "vec", "left_semi"))
+        true = compared(left, left.withColumn("weight", F.lit(1).cast("long")), "space", kind, threshold)
+        missed = true.join(left.select(F.col("vec").alias("u"), F.col("part").alias("own")), "u").filter("part <> own").select("u", "v")
+        links = checkpointed(links.unionByName(missed))
+    return parts_of(reps, links)
 
 
 def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -254,21 +317,31 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     holds a null or non-finite component links with nothing. Identical vectors are linked with one another and share their links. ``vec_id`` is an integer;
     rows that repeat an id are vectors of their own for ``n_links``, and share the id's component. A null id links with nothing, has a null component and is not kept. An empty table gives an empty result.
     """
-    fine = vector_classes(vectors, vec_id, embedding, label)
-    classes = staged(fine.groupBy("space", "e").agg(F.min("vec").alias("vec"), F.count("*").alias("size")), "classes")
-    members = staged(fine.join(classes.select("space", "e", F.col("vec").alias("rep"), "size"), ["space", "e"]).select("vec", "rep", "size"), "members")
-    # One id may be the least of several classes, so classes get numbers of their own.
-    numbered = staged(_packed(classes.select(F.col("vec"), "space", "size", "e")).withColumn("id", F.monotonically_increasing_id()), "reps")
-    reps = numbered.select(F.col("id").alias("vec"), "space", "v")
-    links = checkpointed(near_links(reps, threshold))
-    info = numbered.select("id", F.col("vec").alias("rep"), "size")
-    others = links.join(info.select(F.col("id").alias("v"), F.col("size").alias("m")), "v").groupBy("u").agg(F.sum("m").alias("m"))
-    degree = info.join(others.withColumnRenamed("u", "id"), "id", "left").groupBy("rep", "size").agg(F.max(F.col("size") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
-    named = links.join(info.select(F.col("id").alias("u"), F.col("rep").alias("a")), "u").join(info.select(F.col("id").alias("v"), F.col("rep").alias("b")), "v")
-    edges = named.select("a", "b").filter("a <> b").unionByName(members.filter("vec <> rep").select(F.col("rep").alias("a"), F.col("vec").alias("b")))
-    parts = components(edges)
-    counted = members.join(degree, ["rep", "size"]).groupBy(F.col("vec").alias("_vec")).agg(F.max("n_links").alias("n_links"))
-    out = vectors.select(F.col(vec_id).cast("long").alias("vec_id"))
-    out = out.join(counted, F.col("vec_id") == F.col("_vec"), "left").join(parts.withColumnRenamed("node", "_node"), F.col("vec_id") == F.col("_node"), "left")
-    part = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), part.alias("component_id"), F.coalesce(F.col("vec_id") == part, F.lit(False)).alias("kept"))
+    kind = _kind(vectors, embedding)
+    rows = comparable(vectors, vec_id, embedding, label)
+    fine = rows.filter("space is not null")
+    classes = fine.groupBy("space", "e").agg(F.min("vec").alias("rep"), F.count("*").alias("size"))
+    # One id can be the least of several classes, so each has a number of its own, fixed by writing it.
+    classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    members = staged(fine.join(classes.select("space", "e", "id", "rep", "size"), ["space", "e"]).select("vec", "id", "rep", "size"), "members")
+    reps = staged(_packed(classes.select(F.col("id").alias("vec"), "space", "size", "e"), kind), "reps")
+    whole = near_components(reps.select("vec", "space", "v"), kind, threshold)
+    info = checkpointed(whole.join(reps.select("vec", F.col("size").alias("weight")), "vec"))
+    # A component of one class needs no comparison.
+    shared = grouped(info, ["part"], F.count("*").alias("n")).filter("n > 1").select("part")
+    joint = checkpointed(info.join(shared, "part").withColumn("group", F.col("part")))
+    links = compared(joint, joint, "group", kind, threshold, SPREAD).select(F.col("u").alias("id"), "weight")
+    links = checkpointed(links)
+
+    least = info.join(classes.select(F.col("id").alias("vec"), "rep"), "vec").select(F.col("vec").alias("id"), "part", "rep")
+    least = checkpointed(least)
+    lowest = checkpointed(least.join(grouped(least, ["part"], F.min("rep").alias("low")), "part").select("id", "low"))
+    # Stars already, unless an id has several vectors.
+    edges = members.join(lowest, "id").select(F.col("vec").alias("a"), F.col("low").alias("b"))
+    found = components(edges.filter("a <> b"))
+    counted = members.join(links, "id", "left").select("vec", (F.col("size") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"))
+    linked = counted.join(found.withColumnRenamed("node", "vec"), "vec", "left")
+    part = F.coalesce("component", "vec")
+    out = linked.select(F.col("vec").alias("vec_id"), F.col("n_links").cast("long").alias("n_links"), part.alias("component_id"), (F.col("vec") == part).alias("kept"))
+    rest = rows.filter("space is null").select("vec").join(found.withColumnRenamed("node", "vec"), "vec", "left")
+    return out.unionByName(rest.select(F.col("vec").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), part.alias("component_id"), F.coalesce(F.col("vec") == part, F.lit(False)).alias("kept")))
