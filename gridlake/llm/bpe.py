@@ -1,14 +1,13 @@
 """BPE encoding and decoding by a pair occurrence index.
 
-The distinct words of a batch are laid out as one list of symbols. An index maps each mergeable pair to all its
+The distinct words of a part of a partition (all of it, up to ``PART`` bytes of text) are laid out as one list of symbols. An index maps each mergeable pair to all its
 positions; the active ranks are taken in ascending order from a heap, and a merge at a position updates the lists of the pairs it
 makes with its neighbours. Because every merge's parts are made by earlier merges (checked when the file is read), new pairs
-rank later than the one in hand, and rank order over the whole batch is the order within each word.
+rank later than the one in hand, and rank order over the whole list is the order within each word. Nothing is kept from one part to the next.
 
 Normaliser and word pattern are the file's own. Texts in Latin script take these steps (NFC, lower case, the split pattern, the byte alphabet) here, if the
-file has just these; all others go through the ``tokenizers`` library's. Encoded words are cached per worker up to a fixed number; what is beyond is encoded
-again in each batch.
-No shuffle; memory is bounded by a slice of a batch and the cache.
+file has just these; all others go through the ``tokenizers`` library's.
+No shuffle; memory is bounded by a part's texts, its distinct words and a number for each place of a word.
 """
 
 from __future__ import annotations
@@ -17,11 +16,12 @@ import functools
 import heapq
 import json
 import re
+import sys
 import unicodedata
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,14 +29,17 @@ from pyspark.sql import functions as F
 
 from .packing import byte_alphabet, slices
 
-CACHE = 250_000
-
+#: Bytes of texts whose words are encoded together.
+PART = 12 << 20
 
 # The steps that a file may state and that are taken here too.
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+assert sys.byteorder == "little" and array("I").itemsize == 4  # ids leave as little-endian unsigned 32-bit numbers
+
+
 class WordBpe:
     #: Characters whose class or case is left to the library.
     ODD = re.compile("[\x1c-\x1f\x85]|[^\x00-\u024f]")
@@ -63,8 +66,6 @@ class WordBpe:
             made[z] = len(self.merge)
             self.rank[x, y] = len(self.merge)
             self.merge.append((x, y, z))
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
         split, *more = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         plain = [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
         usual = (spec["normalizer"] or {}).get("normalizers") == NORMALIZER and more == plain
@@ -126,52 +127,50 @@ class WordBpe:
             out.append(ids)
         return out
 
-    def encode_words(self, words: set[str]) -> dict[str, tuple[bytes, str]]:
-        """(ids, decoded) of words in the byte alphabet: what is cached, and the rest by the index of their pairs."""
-        out = {w: self.cache[w] for w in words & self.cache.keys()}
-        new = sorted(words - out.keys())
-        made = {w: (np.array(ids, "<u4").tobytes(), " ".join([self.token[i] for i in ids])) for w, ids in zip(new, self.merge_words(new))}
-        if (room := CACHE - len(self.cache)) > 0:
-            self.cache.update((w, made[w]) for w in [w for w in new if len(w) < 64][:room])
-        return out | made
-
-    def encode_odd(self, text: str) -> tuple[bytes, str]:
-        """The same of a text whose words the library finds."""
-        plan: list[str | int] = []
-        for part in self.cut.split(text) if self.cut else [text]:
-            if part in self.special:
-                plan.append(self.special[part])
-            elif part:
-                plan += [w for w, _ in self.words_of(self.normalise(part))]
-        known = self.encode_words({w for w in plan if isinstance(w, str)})
-        got = [known[x] if isinstance(x, str) else (np.array([x], "<u4").tobytes(), self.token[x]) for x in plan]
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
+    def _plan(self, text: str, number: dict) -> array:
+        """The numbers of a text's words, of which new ones get the next; words of the library and added tokens are keyed by a pair."""
+        put = number.setdefault
+        words = self._words(text)
+        if words is None:
+            words = []
+            for part in self.cut.split(text) if self.cut else [text]:
+                if part in self.special:
+                    words.append(("token", part))
+                elif part:
+                    words += [("shown", w) for w, _ in self.words_of(self.normalise(part))]
+        return array("I", [put(w, len(number)) for w in words])
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        found = [self._words(t) for t in texts]
-        missing = set().union(*(w for w in found if w)) - self.words.keys()
-        known = self.words
-        if missing:
-            shown = {w: self._in_bytes(w) for w in missing}
-            made = self.encode_words(set(shown.values()))
-            extra = {w: made[x] for w, x in shown.items()}
-            if len(known) + len(extra) <= CACHE:
-                known.update(extra)
-            else:
-                known = known | extra
-        out = []
-        for text, words in zip(texts, found):
-            if words is None:
-                out.append(self.encode_odd(text))
-            else:
-                got = [known[w] for w in words]
-                out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
-        return out
+        """(ids, decoded) of each text."""
+        number: dict = {}
+        plans = [self._plan(t, number) for t in texts]
+        tokens = {n: w[1] for w, n in number.items() if isinstance(w, tuple) and w[0] == "token"}
+        shown = ["" if n in tokens else w[1] if isinstance(w, tuple) else self._in_bytes(w) for w, n in number.items()]
+        ids, said = [], []
+        for n, found in enumerate(self.merge_words(shown)):
+            found = [self.special[tokens[n]]] if n in tokens else found
+            ids.append(array("I", found).tobytes())
+            said.append(" ".join([self.token[i] for i in found]))
+        return [(b"".join([ids[n] for n in p]), " ".join([x for n in p if (x := said[n])])) for p in plans]
+
+
+def parts(batches: Iterator[pa.RecordBatch], column: str, size: int = PART) -> Iterator[pa.RecordBatch]:
+    """Batches in which ``column`` holds about ``size`` bytes: larger ones cut, smaller ones joined."""
+    held, bytes_held = [], 0
+    for b in slices(batches, column, size):
+        n = b.column(column).nbytes
+        if held and bytes_held + n > size:
+            yield pa.concat_batches(held)
+            held, bytes_held = [], 0
+        held.append(b)
+        bytes_held += n
+    if held:
+        yield pa.concat_batches(held)
 
 
 @functools.cache
 def bpe(path: str) -> WordBpe:
-    """One per worker, with its cache."""
+    """One per worker."""
     return WordBpe(path)
 
 
@@ -184,7 +183,7 @@ def bpe_roundtrip(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(tokenizer)
-        for batch in slices(batches, "text"):
+        for batch in parts(batches, "text"):
             out = model.encode_batch([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())], ["doc_id", "ids", "decoded"]
