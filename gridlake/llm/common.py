@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,13 +23,17 @@ def qualified(spark: SparkSession, path: str) -> str:
     return there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(there).toString()
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files and checkpoints that nothing refers to any more.
+def release(spark: SparkSession, times: int = 1) -> None:
+    """Let go of shuffle files that nothing refers to any more.
 
-    Spark deletes them when the driver collects its garbage, which a driver with a large heap does late.
+    Spark deletes them when the driver collects its garbage, which a driver with a large heap does late; and what Python let go reaches the JVM a moment later, so
+    large steps collect twice.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for left in reversed(range(times)):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        if left:
+            time.sleep(0.3)
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -49,9 +54,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """The same for large tables: what was shuffled to make them is let go."""
+    """The same for large tables: what was shuffled to make them is let go. For that, a caller passes ``df`` on and keeps no name for it."""
     out = _written(df, name)
-    release(df.sparkSession)
+    del df
+    release(out.sparkSession, 2)
     return out
 
 

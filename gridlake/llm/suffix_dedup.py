@@ -11,13 +11,14 @@ A byte goes if a ``LENGTH``-byte string that also starts in a document with a sm
    only prefixes of that length count. Adjacent prefixes are compared, and each group of equal strings takes its smallest document.
 4. The verdicts go back to all occurrences of a segment by an equi-join on its digest, and a document's removed runs are the union.
 
-A gram with more than ``HOT`` different segments (the edge of a passage that a third of all documents quote) would make a block too large:
-its segments are cut into single strings, which a plain aggregation by content settles. Exact copies of a whole text need no search: a copy goes
+A gram with more than ``HOT`` bytes of different segments (the edge of a passage that a third of all documents quote) would make a block too large:
+its segments are cut into single strings, which a plain aggregation by their 128-bit digests settles. Exact copies of a whole text need no search: a copy goes
 whole if it is long enough, and its first document stands for it.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,24 +27,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
-from .common import discard, staged
+from .common import discard, grouped, staged
 from .minhash import _mix
 from .packing import slices
 
 LENGTH = 50
 GRAM = 24
-HOT = 4096
-#: Hot grams up to this number (of eight bytes each) are broadcast.
-BROADCAST = 10_000
+#: Bytes of different segments of one gram that a task sorts as one block, at most.
+HOT = 2 << 20
 #: Bytes that a worker winnows, or sorts as one suffix array, at a time.
 CHUNK = 1 << 17
 BLOCK_BYTES = 1 << 20
+#: Bytes of segments that a task sorts, block after block.
+TASK_BYTES = 32 << 20
 #: Bytes of texts or segments taken up at a time; what is made of them is some tens of times as large.
 TAKEN = 1 << 20
 #: Start positions in a segment, at most.
 LONGEST_RUN = 512
-#: Gram hashes that a bucket holds, about.
-BUCKET = 200_000
+#: Gram hashes that a bucket holds, about, and that a packed row does at most.
+BUCKET, ROW = 200_000, 40_000
 _U = np.uint64
 _P = [_U(pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64)) for i in range(5)]
 
@@ -118,14 +120,19 @@ def shared_grams(docs: DataFrame, bits: int, length: int) -> DataFrame:
                 o, g = o[keep], g[keep]
             new = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
             known = ~new | np.concatenate([~new[1:], [False]]) if len(g) else new
-            # Known here already: these need no bucket. The key only spreads them.
-            rows = [(-1 - int(ids[0]) * 2654435761 % 65536, ids[o[known]], ts[o[known]], g[known])]
+            # Known here already: these need no bucket. The key only spreads them, in rows of a bounded size.
+            ko, kg = o[known], g[known]
+            key = lambda at: -1 - zlib.crc32(b"%d %d" % (ids[0], at))  # noqa: B023, E731
+            rows = [(key(at), ids[ko[at : at + ROW]], ts[ko[at : at + ROW]], kg[at : at + ROW]) for at in range(0, len(kg), ROW)]
             o, g = o[new], g[new]
-            bucket = (g.view(_U) >> _U(64 - bits)).astype(np.int64)
+            # Least hashes crowd at the low end, so they are mixed once more to fill buckets evenly.
+            bucket = (_mix(g.view(_U) ^ _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             o, g, bucket = o[order], g[order], bucket[order]
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(g) else []
             rows += [(int(bucket[i]), ids[o[i:j]], ts[o[i:j]], g[i:j]) for i, j in zip(cuts, [*cuts[1:], len(g)])]
+            if not rows:
+                continue
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k].astype("<i8").tobytes() for r in rows], pa.binary()) for k in (1, 2, 3))], ["bucket", "id", "t", "gram"]
             )
@@ -142,7 +149,7 @@ def shared_grams(docs: DataFrame, bits: int, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(i), pa.array(t), pa.array(g)], ["id", "t", "gram"])
 
         now, parts = None, []
-        for batch in batches:
+        for batch in slices(batches, "gram", TAKEN):
             for bucket, *part in zip(*(batch.column(c).to_pylist() for c in ("bucket", "id", "t", "gram"))):
                 if parts and (bucket != now or bucket < 0):
                     yield result(now, parts)
@@ -312,9 +319,9 @@ def hot_verdicts(distinct: DataFrame, length: int) -> DataFrame:
     """The same for segments of hot grams, string by string."""
     at = F.sequence(F.lit(0), F.octet_length("seg") - length)
     strings = distinct.select("s1", "s2", "first", F.explode(F.transform(at, lambda i: F.struct(i.alias("i"), F.substring("seg", i + 1, F.lit(length)).alias("x")))).alias("w"))
-    strings = strings.select("s1", "s2", "first", F.col("w.i").alias("i"), F.col("w.x").alias("x"))
-    low = strings.groupBy("x").agg(F.min("first").alias("low"))
-    less = strings.join(low, "x").filter("low < first").groupBy("s1", "s2").agg(F.collect_list("i").alias("offs"))
+    strings = strings.select("s1", "s2", "first", F.col("w.i").alias("i"), F.xxhash64("w.x").alias("x1"), F.xxhash64(F.lit(3), "w.x").alias("x2"))
+    low = grouped(strings, ["x1", "x2"], F.min("first").alias("low"))
+    less = strings.join(low, ["x1", "x2"]).filter("low < first").groupBy("s1", "s2").agg(F.collect_list("i").alias("offs"))
     out = distinct.select("s1", "s2", "first").join(less, ["s1", "s2"], "left")
     offs = F.coalesce("offs", F.array().cast("array<int>"))
     return out.select("s1", "s2", "first", offs.alias("offs"), F.transform(offs, lambda _: F.lit(1)).alias("lens"))
@@ -368,7 +375,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, carr
     repeats = not rows.groupBy("id").count().filter("count > 1").isEmpty()
     rows = rows.withColumn("t", F.xxhash64("b") if repeats else F.lit(0).cast("long"))
     heads = staged(rows.select("id", "t", F.sha2("b", 256).alias("sha"), F.octet_length("b").alias("n")), "heads")
-    firsts = heads.filter(F.col("n") >= length).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("c"))
+    firsts = grouped(heads.filter(F.col("n") >= length), ["sha"], F.min("id").alias("first"), F.count("*").alias("c"))
     copies = heads.join(firsts.filter("c > 1").select("sha", "first"), "sha").filter("id > first").select("id", "t", "n").distinct()
     total = heads.agg(F.sum("n")).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(1, 2 * total / (length - GRAM + 2) / BUCKET)))))
@@ -379,15 +386,11 @@ def suffix_dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, carr
     discard(grams)
     digest = [F.xxhash64("seg").alias("s1"), F.xxhash64(F.lit(3), "seg").alias("s2")]
     distinct = staged(segs.groupBy("gram", "seg").agg(F.min("id").alias("first")).select("gram", "seg", *digest, "first"), "distinct")
-    crowd = staged(distinct.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("gram"), "crowd")
-    shuffle = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_hot = crowd.count()
-    if n_hot:
-        hot = F.broadcast(crowd) if n_hot <= BROADCAST else crowd
-        verdicts = block_verdicts(distinct.join(hot, "gram", "left_anti"), length, shuffle).unionByName(hot_verdicts(distinct.join(hot, "gram", "left_semi"), length))
-    else:
-        verdicts = block_verdicts(distinct, length, shuffle)
-    verdicts = staged(verdicts, "verdicts")
+    crowd = staged(distinct.groupBy("gram").agg(F.sum(F.octet_length("seg").cast("long")).alias("c")).filter(F.col("c") > HOT).select("gram"), "crowd")
+    size = distinct.agg(F.sum(F.octet_length("seg").cast("long"))).first()[0] or 0
+    shuffle = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    hot = distinct.join(crowd, "gram", "left_semi")
+    verdicts = staged(block_verdicts(distinct.join(crowd, "gram", "left_anti"), length, shuffle).unionByName(hot_verdicts(hot, length)), "verdicts")
     discard(distinct, crowd)
 
     found = segs.select("id", "t", "start", "count", *digest).join(verdicts, ["s1", "s2"])
@@ -395,8 +398,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, carr
     parts = F.zip_with("offs", "lens", lambda o, n: F.struct((F.col("start") + o).alias("a"), (F.col("start") + o + n + length - 1).alias("z")))
     ranges = found.select("id", "t", F.when(F.col("id") > F.col("first"), whole).otherwise(parts).alias("r")).filter(F.size("r") > 0)
     gone = copies.select("id", "t", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("z"))).alias("r"))
-    merged = ranges.unionByName(gone).groupBy("id", "t").agg(F.flatten(F.collect_list("r")).alias("ranges"))
-    merged = staged(merged, "ranges")
+    merged = staged(ranges.unionByName(gone).groupBy("id", "t").agg(F.flatten(F.collect_list("r")).alias("ranges")), "ranges")
     discard(segs, verdicts, heads)
     out = rows.join(merged, ["id", "t"], "left").select("doc_id", *carry, "b", "ranges")
     schema = out.drop("ranges").schema
