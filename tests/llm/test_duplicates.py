@@ -250,7 +250,7 @@ def suffix_rows():
     return rows
 
 
-@pytest.mark.parametrize("hot", [S.HOT, 3])
+@pytest.mark.parametrize("hot", [S.HOT, 3, 300])
 def test_suffix_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT", hot)
     monkeypatch.setattr(S, "CHUNK", 2000)
