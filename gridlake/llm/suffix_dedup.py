@@ -37,7 +37,7 @@ GRAM = 24
 HOT = 2 << 20
 #: Bytes that a worker winnows, or sorts as one suffix array, at a time.
 CHUNK = 1 << 17
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 #: Bytes of segments that a task sorts, block after block.
 TASK_BYTES = 32 << 20
 #: Bytes of texts or segments taken up at a time; what is made of them is some tens of times as large.
@@ -300,7 +300,7 @@ def block_verdicts(distinct: DataFrame, length: int, partitions: int) -> DataFra
             return pa.RecordBatch.from_arrays([*(held.column(c) for c in ("s1", "s2", "first")), pa.array(offs, kind), pa.array(lens, kind)], ["s1", "s2", "first", "offs", "lens"])
 
         held = None
-        for batch in slices(batches, "seg", TAKEN):
+        for batch in slices(batches, "seg", BLOCK_BYTES):
             now = batch if held is None else pa.concat_batches([held, batch])
             gram = now.column("gram").to_numpy()
             edge = np.flatnonzero(gram[1:] != gram[:-1])
