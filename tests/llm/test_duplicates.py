@@ -265,6 +265,30 @@ def test_suffix_dedup(spark, monkeypatch, hot):
         assert kept == b"".join(b[x:y] for x, y in zip([0, *r["ends"]], [*r["starts"], len(b)]))
 
 
+def test_lone_segments_are_not_sorted(spark, monkeypatch):
+    """A gram with one segment needs no sort; where grams meet batch and block edges, each segment still gets its verdict."""
+    sort = S._block
+
+    def block(segs, first, length):
+        assert not any(s.startswith(b"lone") for s in segs)
+        return sort(segs, first, length)
+
+    monkeypatch.setattr(S, "_block", block)
+    monkeypatch.setattr(S, "BLOCK_BYTES", 500)
+    rng = random.Random(9)
+    rows, want = [], {}
+    for gram in range(300):
+        body = bytes(rng.choices(b"abcd", k=60))
+        mine = [b"lone" + body] if rng.random() < 0.6 else [bytes([65 + k]) + body for k in range(rng.randrange(2, 6))]
+        for k, seg in enumerate(mine):
+            want[len(rows)] = (k, [1] if k else [], [11] if k else [])
+            rows.append((gram, seg, len(rows), 0, k))
+    distinct = spark.createDataFrame(rows, "gram long, seg binary, s1 long, s2 long, first long")
+    for parts in (1, 7):
+        got = S.block_verdicts(distinct, 50, parts).collect()
+        assert len(got) == len(rows) and {r["s1"]: (r["first"], r["offs"], r["lens"]) for r in got} == want
+
+
 def test_suffix_whole_characters(spark):
     rows = suffix_rows()
     for r in S.suffix_dedup(docs(spark, rows), carry=("component",), whole_characters=True).collect():
