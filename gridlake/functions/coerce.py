@@ -5,6 +5,8 @@ A cell is a struct: ``k`` kind, ``s`` text, ``d`` number, ``i`` integer (also 0
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,27 +38,34 @@ def float_text(x: pd.Series) -> pd.Series:
     return pd.Series([None if v != v else ("%.9f" % v).rstrip("0").rstrip(".") for v in x.to_numpy()], dtype=object)
 
 
-def _when(cell: Column, cases: dict[tuple[int, ...], Column], kind: str) -> Column:
+#: Kinds, besides empty, that a cell can have; None for any.
+Kinds = Collection[int] | None
+
+
+def _when(cell: Column, cases: dict[tuple[int, ...], Column], kind: str, among: Kinds = None) -> Column:
+    """The value of the case that a cell's kind names. Cases that cannot occur are left out: a Python function in one would get all rows."""
     out = None
     for kinds, value in cases.items():
-        test = cell["k"].isin(*kinds) if len(kinds) > 1 else cell["k"] == kinds[0]
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(F.lit(None).cast(kind))
+        kinds = [k for k in kinds if among is None or k in among]
+        if kinds:
+            test = cell["k"].isin(*kinds) if len(kinds) > 1 else cell["k"] == kinds[0]
+            out = F.when(test, value) if out is None else out.when(test, value)
+    return F.lit(None).cast(kind) if out is None else out.otherwise(F.lit(None).cast(kind))
 
 
-def to_boolean(cell: Column) -> Column:
-    return _when(cell, {(BOOL, INT): cell["i"] != 0, (FLOAT,): cell["d"] != 0.0}, "boolean")
+def to_boolean(cell: Column, among: Kinds = None) -> Column:
+    return _when(cell, {(BOOL, INT): cell["i"] != 0, (FLOAT,): cell["d"] != 0.0}, "boolean", among)
 
 
-def to_int(cell: Column) -> Column:
+def to_int(cell: Column, among: Kinds = None) -> Column:
     """Numbers are cut towards zero; out of range, and texts that are not plain integers, are null."""
     text = F.when(cell["s"].rlike(_INTEGER), cell["s"].try_cast("bigint"))
-    return _when(cell, {(INT, BOOL): cell["i"], (FLOAT,): cell["d"].try_cast("bigint"), (STRING,): text}, "bigint")
+    return _when(cell, {(INT, BOOL): cell["i"], (FLOAT,): cell["d"].try_cast("bigint"), (STRING,): text}, "bigint", among)
 
 
-def to_float(cell: Column) -> Column:
+def to_float(cell: Column, among: Kinds = None) -> Column:
     text = F.when(cell["s"].rlike(_NUMBER), cell["s"].try_cast("double"))
-    return _when(cell, {(FLOAT,): cell["d"], (INT, BOOL): cell["i"].cast("double"), (STRING,): text}, "double")
+    return _when(cell, {(FLOAT,): cell["d"], (INT, BOOL): cell["i"].cast("double"), (STRING,): text}, "double", among)
 
 
 def _shifted(days: Column) -> Column:
@@ -79,7 +88,7 @@ def datetime_text(at: Column) -> Column:
     return F.when(ms == "000", plain).otherwise(F.concat(plain, F.lit("."), ms))
 
 
-def to_string(cell: Column) -> Column:
+def to_string(cell: Column, among: Kinds = None) -> Column:
     return _when(
         cell,
         {
@@ -91,6 +100,7 @@ def to_string(cell: Column) -> Column:
             (ELAPSED,): float_text(cell["d"]),
         },
         "string",
+        among,
     )
 
 
@@ -102,27 +112,27 @@ def _iso_datetime(cell: Column) -> Column:
     return F.regexp_replace(cell["s"], "(Z|[+-][0-9]{2}:?[0-9]{2})$", "").try_cast("timestamp_ntz")
 
 
-def to_datetime(cell: Column) -> Column:
+def to_datetime(cell: Column, among: Kinds = None) -> Column:
     with_date_only = F.coalesce(cell["s"].rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.lit(False))
     iso = F.when(with_date_only, cell["s"].try_cast("date").cast("timestamp_ntz")).otherwise(_iso_datetime(cell))
-    return _when(cell, {(SERIAL, FLOAT, INT): serial_to_datetime(_number(cell)), (ISO,): iso}, "timestamp_ntz")
+    return _when(cell, {(SERIAL, FLOAT, INT): serial_to_datetime(_number(cell)), (ISO,): iso}, "timestamp_ntz", among)
 
 
-def to_date(cell: Column) -> Column:
+def to_date(cell: Column, among: Kinds = None) -> Column:
     iso = F.substring(cell["s"], 1, 10).try_cast("date")
-    return _when(cell, {(SERIAL, FLOAT, INT): serial_to_date(_number(cell)), (ISO,): iso}, "date")
+    return _when(cell, {(SERIAL, FLOAT, INT): serial_to_date(_number(cell)), (ISO,): iso}, "date", among)
 
 
-def duration_ms(cell: Column) -> Column:
+def duration_ms(cell: Column, among: Kinds = None) -> Column:
     """Milliseconds of a duration. Plain numbers are none."""
     part = lambda unit: F.coalesce(F.nullif(F.regexp_extract(cell["s"], f"([0-9.]+){unit}", 1), F.lit("")).try_cast("double"), F.lit(0.0))
     hours = part("H") * 3_600_000 + part("M") * 60_000 + part("S") * 1000
     iso = F.when(cell["s"].rlike(r"^PT([0-9.]+H)?([0-9.]+M)?([0-9.]+S)?$"), F.round(hours).try_cast("bigint"))
-    return _when(cell, {(SERIAL, ELAPSED): F.round(cell["d"] * _DAY_MS).try_cast("bigint"), (ISO_DURATION,): iso}, "bigint")
+    return _when(cell, {(SERIAL, ELAPSED): F.round(cell["d"] * _DAY_MS).try_cast("bigint"), (ISO_DURATION,): iso}, "bigint", among)
 
 
-def to_duration(cell: Column) -> Column:
-    return F.make_dt_interval(secs=(duration_ms(cell) / 1000).cast("decimal(18,6)"))
+def to_duration(cell: Column, among: Kinds = None) -> Column:
+    return F.make_dt_interval(secs=(duration_ms(cell, among) / 1000).cast("decimal(18,6)"))
 
 
 _TO = {
@@ -136,10 +146,10 @@ _TO = {
 }
 
 
-def coerce(cell: Column, dtype: Dtype, whitespace_as_null: bool = False) -> Column:
+def coerce(cell: Column, dtype: Dtype, whitespace_as_null: bool = False, among: Kinds = None) -> Column:
     if dtype == Dtype.NULL:
         return F.lit(None)
-    out = _TO[dtype](cell)
+    out = _TO[dtype](cell, among)
     if dtype == Dtype.STRING and whitespace_as_null:
         out = F.when(~is_blank(cell), out)
     return out

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParametersError
@@ -60,14 +60,9 @@ class Window:
     def left_out(self, row: int) -> bool:
         return self.skip(row - self.start - self.offset)
 
-    def predicate(self) -> Column:
-        inside = (F.col("_row") >= self.start + self.offset) & (F.col("_row") < self.start + self.limit)
-        left_out = sorted(self.start + self.offset + i for i in self.skipped)
-        return inside & ~F.col("_row").isin(left_out) if left_out else inside
-
-    def sample(self, rows: int | None) -> Column:
-        end = self.limit if rows is None else min(self.offset + rows, self.limit)
-        return (F.col("_row") >= self.start + self.offset) & (F.col("_row") < self.start + end)
+    def left_out_rows(self) -> list[int]:
+        """The listed rows in the sheet."""
+        return sorted(self.start + self.offset + i for i in self.skipped)
 
 
 def range_start(options: LoadOptions, first_filled: int) -> int:
@@ -119,13 +114,13 @@ def window(grid: Grid, found: Extent, options: LoadOptions) -> Window:
     offset = (header is not None) + skip
     upper = height
     if options.skip_whitespace_tail_rows and height:
-        tail = last_filled(grid.part(start))
+        tail = grid.last_filled(start)
         upper = 1 if tail is None else tail - start + 1
     limit = upper if options.n_rows is None else min(offset + options.n_rows, upper)
     limit = max(limit, offset)
     listed = options.skip_rows if isinstance(options.skip_rows, frozenset) else frozenset()
     listed = frozenset(i for i in listed if i < limit - offset)
     if callable(options.skip_rows):
-        n = _count_skipped(grid.part().sparkSession, options.skip_rows, limit - offset)
+        n = _count_skipped(grid.spark, options.skip_rows, limit - offset)
         return Window(start, height, offset, limit, listed, header, options.skip_rows, n)
     return Window(start, height, offset, limit, listed, header, None, len(listed))

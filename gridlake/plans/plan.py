@@ -7,13 +7,13 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coerce as C
 from ..operators.columns import check_selection, name_columns, select_columns
 from ..operators.infer import lattice, masks
-from ..operators.rows import Extent, Window, extent, window
+from ..operators.rows import Extent, Window, extent, last_filled, window
 from .options import ColumnInfo, ColumnInfoNoDtype, Dtype, DtypeFrom, LoadOptions
 
 
@@ -45,6 +45,27 @@ class Grid:
         row = F.col("_row")
         return self.whole.filter(row >= start if end is None else (row >= start) & (row < end))
 
+    def rows(self, start: int, end: int, left_out: Sequence[int] = (), columns: Sequence[int] | None = None, numbers: bool = True) -> DataFrame:
+        """Exactly the rows from ``start`` to before ``end``, without those listed. A grid may leave out ``_row`` unless ``numbers`` are asked for."""
+        row = F.col("_row")
+        inside = (row >= start) & (row < end)
+        return self.part(start, end, columns).filter(inside & ~row.isin(list(left_out)) if left_out else inside)
+
+    def extent(self) -> Extent:
+        return extent(self.part())
+
+    def last_filled(self, start: int) -> int | None:
+        """The last row from ``start`` on that holds more than white space."""
+        return last_filled(self.part(start))
+
+    def kinds(self, column: int, start: int) -> frozenset[int] | None:
+        """The kinds, besides empty, that a column's cells from ``start`` on can have; None for any."""
+        return None
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.whole.sparkSession
+
 
 @dataclass(frozen=True)
 class LoadPlan:
@@ -60,7 +81,7 @@ class LoadPlan:
         """``grid`` has ``_row, cells``; ``start_col`` is the sheet's column of the first cell. A table brings its own names and starts at row 0."""
         check_selection(options.use_columns)
         grid = grid if isinstance(grid, Grid) else Grid(grid)
-        found = found or extent(grid.part())
+        found = found or grid.extent()
         own = options
         if table_columns is not None:
             found = Extent(0, found.last if found.last is not None else -1, len(table_columns)) if not found.empty else Extent(None, None, len(table_columns))
@@ -73,7 +94,7 @@ class LoadPlan:
             rows = window(grid, found, own)
             header = None
             if rows.header is not None:
-                line = grid.part(rows.header, rows.header + 1).filter(F.col("_row") == rows.header).select("cells").first()
+                line = grid.rows(rows.header, rows.header + 1, numbers=False).select("cells").first()
                 header = [cell_text(c) for c in line["cells"]] if line is not None else []
             names = name_columns(found.width, start_col, header, options.column_names, options.use_columns)
         typed = _typed(grid, rows, options, select_columns(names, options.use_columns))
@@ -83,9 +104,9 @@ class LoadPlan:
         """All columns of the range with their dtypes, guessed from the same sample as the selected ones'."""
         return _typed(self.grid, self.rows, self.options, self.available)
 
-    def _inside(self) -> DataFrame:
+    def _inside(self, numbers: bool = True) -> DataFrame:
         r = self.rows
-        inside = self.grid.part(r.start + r.offset, r.start + r.limit, [c.index for c in self.selected]).filter(r.predicate())
+        inside = self.grid.rows(r.start + r.offset, r.start + r.limit, r.left_out_rows(), [c.index for c in self.selected], numbers or r.skip is not None)
         if r.skip is None:
             return inside
 
@@ -99,9 +120,13 @@ class LoadPlan:
         """The selected columns, typed; rows in no order, so ``keep_row`` adds ``_row`` to sort by."""
         cols = []
         for c in self.selected:
-            value = C.coerce(F.get("cells", F.lit(c.index)), Dtype(c.dtype), self.options.whitespace_as_null)
+            value = self._value(c)
             cols.append(value.alias(c.name, metadata={"index": c.absolute_index, "column_name_from": c.column_name_from, "dtype_from": c.dtype_from}))
-        return self._inside().select(*(["_row"] if keep_row else []), *cols)
+        return self._inside(keep_row).select(*(["_row"] if keep_row else []), *cols)
+
+    def _value(self, c: ColumnInfo) -> Column:
+        kinds = self.grid.kinds(c.index, self.rows.start + self.rows.offset)
+        return C.coerce(F.get("cells", F.lit(c.index)), Dtype(c.dtype), self.options.whitespace_as_null, kinds)
 
     def errors(self) -> DataFrame:
         """``row, col, row_offset, detail`` of each selected cell that holds something its dtype cannot take."""
@@ -111,7 +136,7 @@ class LoadPlan:
             held = F.coalesce(cell["k"] != C.EMPTY, F.lit(False))
             if self.options.whitespace_as_null:
                 held = held & ~C.is_blank(cell)
-            value = C.coerce(cell, Dtype(c.dtype), self.options.whitespace_as_null)
+            value = self._value(c)
             # A boolean's report lacks the closing quote, as callers may match on it.
             end = "" if c.dtype == Dtype.BOOL.value else "'"
             detail = F.concat(F.lit(f"Expected {c.dtype} but got '"), C.shown(cell), F.lit(end))
@@ -138,7 +163,7 @@ def _typed(grid: Grid, rows: Window, options: LoadOptions, columns: list[ColumnI
     if guess:
         # Skipped rows inside the sample still vote: the sample is contiguous.
         end = rows.start + (rows.limit if options.schema_sample_rows is None else min(rows.limit, rows.offset + options.schema_sample_rows))
-        sample = grid.part(rows.start + rows.offset, end, [c.index for c in guess]).filter(rows.sample(options.schema_sample_rows))
+        sample = grid.rows(rows.start + rows.offset, end, columns=[c.index for c in guess], numbers=False)
         n, found = masks(sample, [c.index for c in guess], options.whitespace_as_null)
         for c, mask in zip(guess, found):
             given[c.index] = (lattice(mask, n, options.coercion, c.index), DtypeFrom.GUESSED)

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .adapters import empty_cell, grid_from_table, grid_of, make_cell, numbered
+from .adapters import TableGrid, empty_cell, grid_from_table, grid_of, make_cell, numbered
 from .errors import WorkbookError
 from .functions import coerce as C
 from .operators.columns import letter_index
 from .operators.infer import BITS, cell_bit, lattice, masks
 from .operators.rows import extent, last_filled
 from .plans.options import Coercion, Dtype, LoadOptions
-from .plans.plan import LoadPlan
+from .plans.plan import Grid, LoadPlan
 from .reader import read_workbook
 from .session import ship_package
 from .sources.scan import binary, scan_all, scan_metadata
@@ -37,11 +37,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _sheet(spark: SparkSession, sf_dir: str, name: str, *keys: str, header: bool = True) -> DataFrame:
-    return grid_from_table(_t(spark, sf_dir, name), *keys, header=header)
+def _sheet(spark: SparkSession, sf_dir: str, name: str, *keys: str, header: bool = True) -> TableGrid:
+    return TableGrid(_t(spark, sf_dir, name), *keys, header=header)
 
 
-def _load(grid: DataFrame, start_col: int = 0, **options) -> DataFrame:
+def _load(grid: DataFrame | Grid, start_col: int = 0, **options) -> DataFrame:
     return LoadPlan.build(grid, LoadOptions.for_sheet(**options), start_col).dataframe()
 
 
@@ -56,7 +56,7 @@ def scan_all_columns(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, l_extendedprice, l_returnflag, l_shipdate FROM lineitem")
 def scan_lineitem(spark, sf_dir):
     table = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
-    return _load(grid_from_table(table, "l_orderkey", "l_linenumber"))
+    return _load(TableGrid(table, "l_orderkey", "l_linenumber"))
 
 
 def _nation_workbook(spark: SparkSession, sf_dir: str) -> bytes:
@@ -213,7 +213,7 @@ _ORDERS = "(SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orde
 
 def _orders(spark, sf_dir, **options):
     table = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return _load(grid_from_table(table, "o_orderkey"), **options)
+    return _load(TableGrid(table, "o_orderkey"), **options)
 
 
 @query(f"SELECT o_orderkey, o_orderstatus FROM {_ORDERS} WHERE i >= 700")
@@ -420,7 +420,7 @@ def infer_null_strings(spark, sf_dir):
 
 def _part(spark, sf_dir, **options):
     table = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
-    return _load(grid_from_table(table, "p_partkey"), **options)
+    return _load(TableGrid(table, "p_partkey"), **options)
 
 
 @query("SELECT p_partkey, p_name, p_size::VARCHAR AS p_size, trunc(p_retailprice)::BIGINT AS p_retailprice FROM part")

@@ -185,6 +185,10 @@ class SheetGrid(Grid):
         wanted = None if columns is None else frozenset(columns)
         return scan_sheet(self.files, self.sheet, self.col_start, self.width, start, end, wanted)
 
+    @property
+    def spark(self) -> SparkSession:
+        return self.files.sparkSession
+
 
 class WorkbookHandle:
     """An open workbook: metadata on the driver, sheets as lazy scans. The file itself is opened by tasks; only bytes in hand are opened here."""

@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from gridlake.adapters import grid_from_table, numbered
+from gridlake import queries
+from gridlake.adapters import TableGrid, grid_from_table, numbered
 from gridlake.errors import InvalidParametersError, UnsupportedColumnTypeCombinationError, WorkbookCellError
 from gridlake.functions import coerce as C
 from gridlake.operators.infer import BITS, BROKEN, lattice
@@ -217,3 +218,25 @@ def test_numbered_on_many_partitions(spark):
     first = sorted(b for _, b in want)[:100_000]
     assert sorted(r["b"] for r in loaded.collect()) == first
     assert numbered(df.filter("false"), "a").count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def lineitem(spark, folder):
+    """A lineitem whose keys repeat, in several files."""
+    day = F.timestamp_add("DAY", F.col("id") % 99, F.lit(dt.datetime(1995, 1, 1)))
+    cols = {"l_orderkey": F.col("id") % 700, "l_linenumber": (F.col("id") % 3).cast("int"), "l_quantity": (F.col("id") % 50).cast("double"), "l_extendedprice": F.col("id") / 8}
+    df = spark.range(0, 3000, 1, 4).select(*(c.alias(k) for k, c in cols.items()), F.when(F.col("id") % 2 == 0, "A").otherwise("N").alias("l_returnflag"), day.cast("timestamp_ntz").alias("l_shipdate"))
+    df.write.parquet(f"{folder}/lineitem.parquet")
+    return df
+
+
+def test_all_rows_of_a_table_are_scanned(spark, tmp_path):
+    """Loading a whole table sorts nothing, and no row passes through Python."""
+    want = sorted(lineitem(spark, tmp_path).collect())
+    loaded = queries.scan_lineitem(spark, str(tmp_path))
+    assert not {"Window", "Sort", "PythonUDF", "EvalPython"} & set(plan_of(loaded).replace("[", " ").split())
+    assert "float_text" not in plan_of(loaded)
+    assert sorted(tuple(r) for r in loaded.collect()) == [tuple(r) for r in want]
