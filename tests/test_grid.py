@@ -240,3 +240,12 @@ def test_all_rows_of_a_table_are_scanned(spark, tmp_path):
     assert not {"Window", "Sort", "PythonUDF", "EvalPython"} & set(plan_of(loaded).replace("[", " ").split())
     assert "float_text" not in plan_of(loaded)
     assert sorted(tuple(r) for r in loaded.collect()) == [tuple(r) for r in want]
+
+
+def test_a_loaded_table_is_aggregated_without_a_sort(spark, tmp_path):
+    """The only shuffle is that of the aggregate."""
+    rows = [tuple(r) for r in lineitem(spark, tmp_path).collect()]
+    got = queries.sheet_then_aggregate(spark, str(tmp_path))
+    assert "Window" not in plan_of(got) and "float_text" not in plan_of(got)
+    want = {flag: (sum(r[4] == flag for r in rows), sum(r[2] for r in rows if r[4] == flag), max(r[5] for r in rows if r[4] == flag)) for flag in "AN"}
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
