@@ -111,8 +111,8 @@ def grid_from_table(df: DataFrame, *keys: str, header: bool = True) -> DataFrame
 
 
 class TableGrid(Grid):
-    """A table as a sheet, like ``grid_from_table``, whose parts do no more than they must: all rows of a table are a scan without numbers, and only what
-    asks for the numbers of rows sorts the table."""
+    """A table as a sheet, like ``grid_from_table``, whose parts do no more than they must: all rows of a table are a scan without numbers, and first rows are
+    told from others by one key. Only what asks for the numbers of many rows sorts the table."""
 
     #: So many rows, at most, are sorted in one task by themselves.
     FEW = 10_000
@@ -177,6 +177,12 @@ class TableGrid(Grid):
             body = bare
         elif not numbers and told == b and not a and not out and b <= self.FEW:
             body = bare.orderBy(*self.keys).limit(b)
+        elif told <= self.FEW and told and (b < n or not numbers):
+            mine = _key(self.df, self.keys)
+            last = _key(self.df, self.keys, self.df.select(*self.keys).orderBy(*self.keys).offset(told - 1).limit(1).first())
+            order = W.partitionBy(F.lit(0)).orderBy(*self.keys)
+            body = self.df.filter(mine <= last).withColumn("_row", F.row_number().over(order).cast("bigint") - 1).filter(inside)
+            body = body.unionByName(bare.filter(mine > last)) if b == n else body
         else:
             body = self._numbered.filter(inside)
         found = self._cells(body, bool(head and start <= 0 < end and 0 not in left_out))

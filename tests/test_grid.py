@@ -249,3 +249,14 @@ def test_a_loaded_table_is_aggregated_without_a_sort(spark, tmp_path):
     assert "Window" not in plan_of(got) and "float_text" not in plan_of(got)
     want = {flag: (sum(r[4] == flag for r in rows), sum(r[2] for r in rows if r[4] == flag), max(r[5] for r in rows if r[4] == flag)) for flag in "AN"}
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+
+
+def test_listed_rows_do_not_number_a_table(spark, tmp_path, monkeypatch):
+    """First rows are left out by one key; rows that share it are still told apart."""
+    monkeypatch.setattr("gridlake.adapters.numbered", None)
+    for of, name in ((1, "unique"), (4, "repeated")):
+        keys = F.expr(f"id * 7919 % 4000 div {of}")
+        spark.range(0, 4000, 1, 4).select(keys.alias("o_orderkey"), F.lit("O").alias("o_orderstatus")).write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        got = [r[0] for r in queries.skip_list(spark, f"{tmp_path}/{name}").collect()]
+        assert sorted(got) == [i // of for i in range(4000) if i not in (0, 3, 500)]
+        assert sorted(r[0] for r in queries.skip_n(spark, f"{tmp_path}/{name}").collect()) == [i // of for i in range(700, 4000)]
