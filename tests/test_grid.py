@@ -260,3 +260,14 @@ def test_listed_rows_do_not_number_a_table(spark, tmp_path, monkeypatch):
         got = [r[0] for r in queries.skip_list(spark, f"{tmp_path}/{name}").collect()]
         assert sorted(got) == [i // of for i in range(4000) if i not in (0, 3, 500)]
         assert sorted(r[0] for r in queries.skip_n(spark, f"{tmp_path}/{name}").collect()) == [i // of for i in range(700, 4000)]
+
+
+@pytest.mark.parametrize("options", [{"skip_rows": [0, 3, 50]}, {"skip_rows": 20, "n_rows": 50}, {"header_row": None, "skip_rows": [0, 1], "dtypes": "string"}])
+def test_parts_of_a_table(spark, options):
+    """Parts of a table are those of its numbered grid, with null keys and a blank row too."""
+    rows = [(None, None, None), (None, 0.5, None), *((i, i / 2, f"t{i}") for i in range(2, 100))]
+    df = spark.createDataFrame(rows[::-1], "a long, b double, c string").coalesce(2)
+    of = [LoadPlan.build(g, LoadOptions.for_sheet(**options)) for g in (TableGrid(df, "a", "b"), grid_from_table(df, "a", "b"))]
+    for keep in (False, True):
+        got, want = (sorted(map(repr, p.dataframe(keep).collect())) for p in of)
+        assert got == want and of[0].found == of[1].found and of[0].selected == of[1].selected
